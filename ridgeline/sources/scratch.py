@@ -9,14 +9,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder is set only where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir of the session; a temporary folder serves only where it is unset (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="ridgeline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="ridgeline-"))
+        folder = _own[0]
     return folder.rstrip("/")
 
 
