@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.sources.scratch import materialize
+
 #: A boundary follows a line when the first hex digit over two line hashes is below this: 1 line in 4.
 CUT_BELOW = "4"
 LAST = (1 << 63) - 1
@@ -67,7 +69,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .withColumn("_key", F.xxhash64("_body"))
     )
     repeated = chunks.groupBy("_key").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last")).where(F.col("_first") != F.col("_last")).select("_key", "_first")
-    found = chunks.join(repeated, "_key")
+    found = materialize(chunks.join(repeated, "_key"), "repeated-chunks")
     first = found.where(F.col("_at") == F.col("_first")).groupBy("_key").agg(F.first("_body").alias("_kept"))
     gone = (
         found.where(F.col("_at") != F.col("_first"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import line_dedup, url_filter
+from ridgeline.llm import html_text, language_id, line_dedup, media, packing, quality, url_filter
+from ridgeline.sources.scratch import materialize
 from ridgeline.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +64,62 @@ m AS (SELECT page_id, host, path, h || p AS rule, v, row_number() OVER (PARTITIO
   FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE n = 1
 """
+
+SEQUENCE = 2048
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pieces = packing.cut_pieces(docs, tokenizer_path(), SEQUENCE).drop("ids")
+    return packing.pack(pieces, docs.count(), SEQUENCE)
+
+
+@_query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
+    names, bundles = language_id.prototypes(docs.where(~held_out))
+    return language_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), names, bundles)
+
+
+#: Grades: 0 toxic, 1 poor, 2 good.
+GRADES, GOOD = 3, 2
+
+
+def graded(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when((F.col("toxic") == 0) & (F.col("quality") == 1), 2).alias("grade"))
+
+
+def graded_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with expected_grade, tail_probability and kept: whether grade GOOD is as likely as not."""
+    model = quality.train(docs, graded(labels), GRADES)
+    return quality.score(docs, model, GOOD).withColumn("kept", F.col("tail_probability") >= 0.5)
+
+
+@_query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return graded_documents(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+@_query
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), media.payload(F.col("text")).alias("payload"))
+    stored = materialize(media.media_table(docs), "media")
+    described = media.describe(stored).select("digest", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "payload_bytes", "payload_sha256", "tail_crc32", "feature")
+    described = described.groupBy("digest").agg(*[F.first(c).alias(c) for c in described.columns[1:]])
+    figure = F.concat(F.lit('<figure><img src="sha256:'), F.sha2("payload", 256), F.lit('"><figcaption>'), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
+    items = media.interleave(docs.select("doc_id", "n_bytes", figure.alias("html")), ["doc_id", "n_bytes"])
+    return media.resolve(items, described).drop("digest", "kind", "text")
+
+
+@_query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
