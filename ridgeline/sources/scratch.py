@@ -28,17 +28,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialized table that nothing will read again."""
+    _delete(df.sparkSession, df._scratch)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _written[:] = [x for x in _written if x != (spark, path)]
 
 
 def release(spark: SparkSession) -> None:
     """Delete what this session has materialized; results that still read it must be stored before."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for owner, path in [x for x in _written if x[0] is spark]:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-        _written.remove((owner, path))
+    for path in [p for owner, p in _written if owner is spark]:
+        _delete(spark, path)
 
 
 @atexit.register
