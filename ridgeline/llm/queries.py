@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import html_text, language_id, line_dedup, media, near_dedup, packing, quality, url_filter
+from ridgeline.llm import html_text, language_id, line_dedup, media, near_dedup, packing, quality, repeats, url_filter
 from ridgeline.sources.scratch import materialize
 from ridgeline.sources.tables import table
 
@@ -20,6 +20,11 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
+@_query
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
