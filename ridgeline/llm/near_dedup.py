@@ -131,11 +131,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "src").join(two, "dst").where(100 * both >= PERCENT * (F.size("a") + F.size("b") - both)).select("src", "dst")
 
 
+def node_of(doc_id: Column, text: Column) -> Column:
+    """The id, or for null a number that stands for the text."""
+    return F.coalesce(doc_id.cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS)))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    nameless = F.xxhash64(text).bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS))
-    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), nameless).alias("id"), text.alias("text"))
+    plain = docs.select(node_of(F.col(id_col), F.col(text_col)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    named = lambda c: F.when(F.col(c) < NAMELESS, F.col(c)).alias(c)
+    return components(plain).select(named("id").alias("doc_id"), "n_shingles", named("component_id"), "kept")
+
+
+def components(plain: DataFrame) -> DataFrame:
+    """id, n_shingles, component_id and kept for each row of (id, text), without nulls."""
     signed = materialize(signatures(plain), "signatures")
     narrow = signed.select("id", "n_shingles", "set_a", "set_b")
     same = ["n_shingles", "set_a", "set_b"]
@@ -163,13 +172,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rest = rest.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
     label = _joined(label, confirmed(rest, sets))
     whole = classes.select(*same, "id").join(label, "id", "left").select(*same, F.coalesce("label", "id").alias("component_id"))
-    out = narrow.join(whole, same, "left").select(
-        F.when(F.col("id") < NAMELESS, F.col("id")).alias("doc_id"),
-        "n_shingles",
-        F.coalesce("component_id", "id").alias("component_id"),
-        (F.col("id") == F.coalesce("component_id", "id")).alias("kept"),
-    )
-    return out.withColumn("component_id", F.when(F.col("component_id") < NAMELESS, F.col("component_id")))
+    component = F.coalesce("component_id", "id")
+    return narrow.join(whole, same, "left").select("id", "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
 def _joined(label: DataFrame, links: DataFrame) -> DataFrame:

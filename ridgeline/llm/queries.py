@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import html_text, language_id, line_dedup, media, near_dedup, packing, quality, repeats, url_filter
+from ridgeline.llm import decontaminate, html_text, language_id, line_dedup, media, near_dedup, packing, quality, repeats, url_filter
 from ridgeline.sources.scratch import materialize
 from ridgeline.sources.tables import table
 
@@ -25,6 +25,26 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("text_key")
+
+
+ORACLE_SQL["op3_decontamination"] = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS MATERIALIZED (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+bs AS MATERIALIZED (SELECT item_id, len(w) AS l, array_to_string(w[i:i + 4], ' ') AS s, count(*) AS c FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b) GROUP BY ALL),
+ds AS MATERIALIZED (SELECT doc_id, len(w) AS n, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+win AS MATERIALIZED (SELECT DISTINCT doc_id, item_id, l, n, least(i, greatest(n - l, 0) + 1) AS a FROM ds JOIN bs USING (s)),
+cnt AS (SELECT win.doc_id, win.item_id, l, win.n, a, ds.s, count(*) AS c FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.i BETWEEN a AND a + l - 5 GROUP BY ALL),
+sim AS (SELECT cnt.doc_id, cnt.item_id, cnt.l, a, sum(least(cnt.c, coalesce(bs.c, 0)))::DOUBLE AS shared, sum(cnt.c)::DOUBLE AS own FROM cnt LEFT JOIN bs ON bs.item_id = cnt.item_id AND bs.s = cnt.s GROUP BY ALL),
+ok AS (SELECT doc_id, item_id, l, a, shared / (own + l - 4 - shared) AS j FROM sim WHERE shared / (own + l - 4 - shared) >= 0.75),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY j DESC, a) AS k FROM ok)
+SELECT doc_id, item_id, round(j, 6) AS similarity, (a - 1)::INT AS start, l::INT AS length FROM r WHERE k = 1
+""".replace("\\p", "\p")
+
+
 @_query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -146,3 +166,10 @@ r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_i
 SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reached) AS component_id, r.doc_id = min(reached) AS kept
 FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
