@@ -42,7 +42,7 @@ sim AS (SELECT cnt.doc_id, cnt.item_id, cnt.l, a, sum(least(cnt.c, coalesce(bs.c
 ok AS (SELECT doc_id, item_id, l, a, shared / (own + l - 4 - shared) AS j FROM sim WHERE shared / (own + l - 4 - shared) >= 0.75),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY j DESC, a) AS k FROM ok)
 SELECT doc_id, item_id, round(j, 6) AS similarity, (a - 1)::INT AS start, l::INT AS length FROM r WHERE k = 1
-""".replace("\\p", "\p")
+"""
 
 
 @_query
