@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from ridgeline.plans import access_queries, graph_queries, path_queries, terrain_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+_PARTS = (terrain_queries, access_queries, path_queries, graph_queries)
+QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLE_SQL = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}
