@@ -69,8 +69,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .withColumn("_key", F.xxhash64("_body"))
     )
     repeated = chunks.groupBy("_key").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last")).where(F.col("_first") != F.col("_last")).select("_key", "_first")
+    # written before each join: beside an aggregate, Spark cannot split the rows of a hot chunk
+    repeated = materialize(repeated, "repeated-keys")
     found = materialize(chunks.join(repeated, "_key"), "repeated-chunks")
     first = found.where(F.col("_at") == F.col("_first")).groupBy("_key").agg(F.first("_body").alias("_kept"))
+    first = materialize(first, "kept-chunks")
     gone = (
         found.where(F.col("_at") != F.col("_first"))
         .join(first, "_key")

@@ -105,14 +105,16 @@ def full_sets(docs: DataFrame) -> DataFrame:
 def buckets(classes: DataFrame) -> DataFrame:
     """(key, id) of the table keys: pairs of a tuple of the first collection and one of the second, both shared."""
     halves = classes.select("id", F.posexplode_outer("tuples").alias("place", "tuple"))
-    shared = halves.groupBy("tuple").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tuple")
+    # what a join needs by key is written first: beside an aggregate, Spark cannot split a hot key's rows
+    shared = materialize(halves.groupBy("tuple").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tuple"), "shared-tuples")
     first = F.collect_list(F.when(F.col("place") < COLLECTION, F.col("tuple"))).alias("first")
     second = F.collect_list(F.when(F.col("place") >= COLLECTION, F.col("tuple"))).alias("second")
     own = halves.join(shared, "tuple").groupBy("id").agg(first, second)
     own = own.where((F.size("first") > 0) & (F.size("second") > 0)).select("id", F.explode("first").alias("one"), "second")
     keys = own.select("id", "one", F.explode("second").alias("two")).select("id", F.xxhash64("one", "two").alias("key"))
+    keys = materialize(keys, "keys")
     full = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    return keys.join(full, "key")
+    return keys.join(materialize(full, "full-keys"), "key")
 
 
 def _differing(a: Column, b: Column) -> Column:
@@ -159,11 +161,13 @@ def components(plain: DataFrame) -> DataFrame:
     label = members.select("id", F.col("id").alias("label"))
     for count in PIVOTS:
         pivots = table.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(k))) if k else F.min("id") for k in range(count)])).alias("pivots"))
+        pivots = materialize(pivots, "pivots")
         found = table.join(pivots, "key").select("id", F.explode_outer("pivots").alias("pivot")).where("id != pivot").distinct()
         if count > 1:
             found = found.join(label, "id").join(label.select(F.col("id").alias("pivot"), F.col("label").alias("other")), "pivot").where("label != other")
         label = _joined(label, confirmed(found.select(F.greatest("id", "pivot").alias("src"), F.least("id", "pivot").alias("dst")).distinct(), sets))
     apart = table.join(label, "id").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+    apart = materialize(apart, "apart")
     open_ = table.join(apart, "key").join(label.join(classes.select("id", "n_shingles", "digest"), "id"), "id")
     a, b = open_.alias("a"), open_.alias("b")
     unlike = sum((_differing(F.get("a.digest", F.lit(k)), F.get("b.digest", F.lit(k))) for k in range(2 * COLLECTION * ROWS // 16)), F.lit(0))
