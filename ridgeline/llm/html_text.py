@@ -183,5 +183,5 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
         for part in parts:
             yield part.map(lambda x: main_text(x, tree))
 
-    out = pages.withColumn("_text", run(F.col(html))).drop(html).withColumnRenamed("_text", "text")
+    out = pages.drop(*({"text", "n_chars"} - {html})).withColumn("_text", run(F.col(html))).drop(html).withColumnRenamed("_text", "text")
     return out.withColumn("n_chars", F.length("text").cast("long"))

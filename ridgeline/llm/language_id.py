@@ -117,6 +117,7 @@ def prototypes(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple
 
 def identify(docs: DataFrame, names: list[str], bundles: np.ndarray, text: str = "text") -> DataFrame:
     """docs with lang_pred and score in place of the text; only the text decides."""
+    docs = docs.drop("lang_pred", "score")
     kept = [f for f in docs.schema.fields if f.name != text]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"])
     unit = bundles / np.maximum(np.linalg.norm(bundles, axis=1, keepdims=True), 1e-300)

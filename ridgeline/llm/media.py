@@ -132,7 +132,7 @@ def describe(media: DataFrame, column: str = "media") -> DataFrame:
         for part in parts:
             yield pd.DataFrame([one(x) for x in part], columns=names)
 
-    return media.withColumn("_features", features(F.col(column))).select("*", "_features.*").drop("_features")
+    return media.drop(*names).withColumn("_features", features(F.col(column))).select("*", "_features.*").drop("_features")
 
 
 def media_table(payloads: DataFrame, column: str = "payload") -> DataFrame:

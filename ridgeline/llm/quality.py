@@ -127,4 +127,5 @@ def score(docs: DataFrame, model: Model, wanted: int, text: str = "text") -> Dat
             tails = own.tails(scores)
             yield pd.DataFrame({"expected_grade": tails.sum(axis=1), "tail_probability": tails[:, wanted - 1]})
 
-    return docs.withColumn("_grade", grade(F.col(text))).select("*", "_grade.*").drop("_grade")
+    names = ["expected_grade", "tail_probability"]
+    return docs.drop(*names).withColumn("_grade", grade(F.col(text))).select("*", "_grade.*").drop("_grade")

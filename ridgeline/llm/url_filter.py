@@ -42,7 +42,7 @@ def canonical_key(host: Column, path: Column) -> Column:
 
 def apply_rules(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", salts: int = SALTS) -> DataFrame:
     """pages with host, path, rule and verdict. rules: host, path, verdict."""
-    pages = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    pages = pages.drop("rule", "verdict").withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     rules = (
         rules.where(F.col("host").isNotNull() & F.col("path").isNotNull())
         .groupBy("host", "path")
