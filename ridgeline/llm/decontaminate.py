@@ -8,7 +8,8 @@ fingerprints within RADIUS bits agree in at least one of RADIUS + 1 blocks, so e
 At similarity 0.75 that radius is more than four standard deviations away. Candidates are verified by the
 sum of least over the sum of largest shingle counts.
 
-Only DataFrame functions are used. The benchmark's shingles are broadcast if they are few enough, else joined.
+Only DataFrame functions are used. The benchmark is broadcast if its words and blocks are few enough, and then
+nothing but found pairs is shuffled; else it is joined.
 
 Defined results: null or wordless texts and items match nothing; a document shorter than an item is one
 window; an item shorter than a shingle is one shingle; repeated rows give one result; null ids come back null.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 SIMILARITY = 0.75
 RADIUS = 23
-#: The benchmark's shingles, 16 bytes each, are broadcast up to this number.
+#: The benchmark is broadcast up to this number of words and blocks, of 16 to 32 bytes each.
 BROADCAST_ROWS = 1_000_000
 LANES = 3  # counters of 21 bits in a long
 
@@ -39,49 +40,62 @@ def _shingle(words: Column, at: Column, size: int) -> Column:
     return F.xxhash64(*[F.get(words, at + k) for k in range(size)])
 
 
-def _votes(word: Column) -> list[Column]:
-    """The 64 bits of a word's hash as counters, LANES in each long."""
-    h = F.xxhash64(word)
-    lanes = []
-    for at in range(0, 64, LANES):
-        bits = [F.shiftleft(F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1).cast("long")), 21 * k) for k, b in enumerate(range(at, min(at + LANES, 64)))]
-        lanes.append(reduce(lambda a, b: a.bitwiseOR(b), bits))
-    return lanes
+def _votes(h: Column, at: int) -> Column:
+    """LANES bits of a hash from bit at on, each the start of a counter."""
+    bits = [F.shiftleft(F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1).cast("long")), 21 * k) for k, b in enumerate(range(at, min(at + LANES, 64)))]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
-def simhash(windows: DataFrame, key: list[str], words: str = "words") -> DataFrame:
-    """(key, fingerprint): a bit is set where most words' hashes have it set."""
-    each = windows.select(*key, F.size(words).alias("_n"), F.explode_outer(words).alias("_word"))
-    lanes = _votes(F.col("_word"))
-    sums = each.groupBy(*key).agg(F.max("_n").alias("_n"), *[F.sum(x).alias(f"_v{i}") for i, x in enumerate(lanes)])
+def simhash(rows: DataFrame, words: str = "words") -> DataFrame:
+    """rows with their fingerprint: a bit is set where most words' hashes have it set."""
+    hashed = rows.withColumn("_hashes", F.transform(words, lambda w: F.xxhash64(w)))
+    zero = F.lit(0).cast("long")
+    lane = lambda at: F.aggregate("_hashes", zero, lambda total, h: total + _votes(h, at))
+    sums = hashed.withColumns({f"_v{i}": lane(at) for i, at in enumerate(range(0, 64, LANES))})
     bits = []
     for b in range(64):
         count = F.shiftrightunsigned(F.col(f"_v{b // LANES}"), 21 * (b % LANES)).bitwiseAND(F.lit((1 << 21) - 1))
-        bits.append(F.when(2 * count > F.col("_n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return sums.select(*key, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fingerprint"))
+        bits.append(F.when(2 * count > F.size("_hashes"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(zero))
+    return sums.select(*rows.columns, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fingerprint"))
 
 
-def _blocks(fingerprint: Column) -> Column:
-    """RADIUS + 1 parts of 2 or 3 bits, each with its number."""
+def _parts(fingerprint: Column) -> list[Column]:
+    """RADIUS + 1 parts of 2 or 3 bits."""
     wide = 64 - 2 * (RADIUS + 1)
     out, at = [], 0
     for k in range(RADIUS + 1):
         size = 3 if k < wide else 2
-        out.append(F.shiftrightunsigned(fingerprint, at).bitwiseAND(F.lit((1 << size) - 1).cast("long")) + F.lit(k * 8).cast("long"))
+        out.append(F.shiftrightunsigned(fingerprint, at).bitwiseAND(F.lit((1 << size) - 1).cast("long")))
         at += size
-    return F.array(*out)
+    return out
+
+
+def _blocks(fingerprint: Column) -> Column:
+    """The parts, each with its number."""
+    return F.array(*[part + F.lit(k * 8).cast("long") for k, part in enumerate(_parts(fingerprint))])
+
 
+def _first_alike(x: Column) -> Column:
+    """Number of the first part in which two fingerprints with this difference agree."""
+    return F.coalesce(*[F.when(part == 0, F.lit(k)) for k, part in enumerate(_parts(x))])
 
-def _counts(rows: DataFrame, key: list[str], size: int) -> DataFrame:
-    """(key, shingle, count) of the words of each row."""
-    at = F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0))))
-    return rows.select(*key, "words", at.alias("_at")).select(*key, _shingle(F.col("words"), F.col("_at"), size).alias("shingle")).groupBy(*key, "shingle").agg(F.count(F.lit(1)).alias("count"))
 
+def _shingles(words: Column, size: int) -> Column:
+    """Hashes of the shingles in order; one if there are fewer words."""
+    at = F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0)))
+    return F.transform(at, lambda i: _shingle(words, i, size))
 
-def _windows(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """(_id, _text, start, length, words): the windows of item lengths that start at a shared shingle."""
-    wanted = _counts(items, ["item_id", "length"], size).select("shingle", "length").distinct()
-    small = wanted.count() <= BROADCAST_ROWS
+
+def _numbered(rows: DataFrame, size: int) -> DataFrame:
+    """rows with numbered: each shingle hashed with how often it came before, so that sets of these hold counts."""
+    sorted_ = rows.withColumn("_sorted", F.sort_array(_shingles(F.col("words"), size)))
+    nth = F.transform("_sorted", lambda x, i: F.xxhash64(x, i - F.array_position("_sorted", x)))
+    return sorted_.withColumn("numbered", nth).drop("_sorted")
+
+
+def _windows(docs: DataFrame, items: DataFrame, size: int, small: bool) -> DataFrame:
+    """(_id, _text, start, length, words): the windows of item lengths that start at a shared shingle, some repeatedly."""
+    wanted = items.select("length", F.explode(_shingles(F.col("words"), size)).alias("shingle")).distinct()
     at = F.when(F.size("words") >= size, F.sequence(F.lit(0), F.size("words") - size))
     spots = docs.select("_id", "_text", "words", F.explode_outer(at).alias("_at")).where(F.col("_at").isNotNull())
     start = F.least(F.col("_at"), F.greatest(F.size("words") - F.col("length"), F.lit(0))).alias("start")
@@ -89,7 +103,7 @@ def _windows(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     key = ["_id", "_text", "start", "length"]
     if small:
         hits = spots.withColumn("shingle", _shingle(F.col("words"), F.col("_at"), size)).join(F.broadcast(wanted), "shingle")
-        return hits.select("_id", "_text", "words", "length", start).select(*key, cut).dropDuplicates(key)
+        return hits.select("_id", "_text", "words", "length", start).select(*key, cut)
     narrow = spots.select("_id", "_text", F.size("words").alias("_n"), "_at", _shingle(F.col("words"), F.col("_at"), size).alias("shingle")).join(wanted, "shingle")
     places = narrow.select("_id", "_text", "length", F.least(F.col("_at"), F.greatest(F.col("_n") - F.col("length"), F.lit(0))).alias("start")).distinct()
     back = docs.dropDuplicates(["_id", "_text"]).alias("d").join(places.alias("p"), F.col("d._id").eqNullSafe(F.col("p._id")) & (F.col("d._text") == F.col("p._text")))
@@ -106,27 +120,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select("item_id", words_of(F.coalesce("text", F.lit(""))).alias("words")).where(F.col("words").isNotNull())
     items = items.withColumn("length", F.size("words"))
     sizes = [r[0] for r in items.select(F.least("length", F.lit(SHINGLE)).alias("size")).distinct().orderBy("size").collect()]
-    found = [_of_size(docs, items.where(F.least("length", F.lit(SHINGLE)) == k), k, similarity) for k in sizes or [SHINGLE]]
+    cost = items.agg(F.sum(F.col("length") + RADIUS + 1)).first()[0]
+    small = (cost or 0) <= BROADCAST_ROWS
+    found = [_of_size(docs, items.where(F.least("length", F.lit(SHINGLE)) == k), k, similarity, small) for k in sizes or [SHINGLE]]
     return reduce(DataFrame.unionByName, found)
 
 
-def _of_size(docs: DataFrame, items: DataFrame, size: int, similarity: float) -> DataFrame:
-    key = ["_id", "_text", "start", "length"]
-    windows = _windows(docs, items, size)
-    marks = simhash(windows.withColumn("item_words", F.col("words")), [*key], "item_words")
-    own = simhash(items, ["item_id", "length"]).withColumnRenamed("fingerprint", "item_fingerprint")
-    marks = marks.select(*key, "fingerprint", F.explode(_blocks(F.col("fingerprint"))).alias("_block"))
-    own = own.select("item_id", "length", "item_fingerprint", F.explode(_blocks(F.col("item_fingerprint"))).alias("_block"))
-    near = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))) <= RADIUS
-    pairs = marks.join(own, ["length", "_block"]).where(near).select(*key, "item_id").distinct()
-    same = [F.col(f"w.{c}").eqNullSafe(F.col(f"p.{c}")) for c in key]
-    candidates = windows.alias("w").join(pairs.alias("p"), reduce(lambda a, b: a & b, same)).select("w.*", "item_id")
-    ours = _counts(candidates, [*key, "item_id"], size)
-    total = ours.groupBy(*key, "item_id").agg(F.sum("count").alias("n"))
-    theirs = _counts(items, ["item_id", "length"], size).withColumnRenamed("count", "item_count")
-    least = ours.join(theirs, ["item_id", "length", "shingle"]).groupBy(*key, "item_id").agg(F.sum(F.least("count", "item_count")).alias("shared"))
-    item_total = F.greatest(F.col("length") - size + 1, F.lit(1))
-    window_total = total.alias("t").join(least.alias("l"), reduce(lambda a, b: a & b, [F.col(f"t.{c}").eqNullSafe(F.col(f"l.{c}")) for c in [*key, "item_id"]])).select("t.*", "shared")
-    scored = window_total.withColumn("similarity", F.col("shared") / (F.col("n") + item_total - F.col("shared"))).where(F.col("similarity") >= similarity)
+def _of_size(docs: DataFrame, items: DataFrame, size: int, similarity: float, small: bool) -> DataFrame:
+    hint = F.broadcast if small else lambda df: df
+    items = items.withColumn("_item", F.xxhash64("words"))
+    own = simhash(items).select("item_id", "_item", "length", F.col("fingerprint").alias("item_fingerprint"))
+    own = own.withColumn("_block", F.explode(_blocks(F.col("item_fingerprint"))))
+    theirs = _numbered(items.dropDuplicates(["_item"]), size).select("_item", F.col("numbered").alias("item_numbered"))
+    marks = _numbered(simhash(_windows(docs, items, size, small)), size).drop("words")
+    marks = marks.withColumn("_block", F.explode(_blocks(F.col("fingerprint"))))
+    x = F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))
+    # a pair that agrees in several blocks counts at the first of them
+    near = (F.bit_count(x) <= RADIUS) & (_first_alike(x) == F.floor(F.col("_block") / 8))
+    pairs = marks.join(hint(own), ["length", "_block"]).where(near).join(hint(theirs), "_item")
+    shared = F.size(F.array_intersect("numbered", "item_numbered"))
+    scored = pairs.select("_id", "_text", "item_id", "start", "length", (shared / (F.size("numbered") + F.size("item_numbered") - shared)).alias("similarity"))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "length")).alias("best")
-    return scored.groupBy("_id", "_text", "item_id").agg(best).select(F.col("_id").alias("doc_id"), F.col("_text").alias("text_key"), "item_id", F.round("best.similarity", 6).alias("similarity"), (-F.col("best.back")).alias("start"), "best.length")
+    found = scored.where(F.col("similarity") >= similarity).groupBy("_id", "_text", "item_id").agg(best)
+    return found.select(F.col("_id").alias("doc_id"), F.col("_text").alias("text_key"), "item_id", F.round("best.similarity", 6).alias("similarity"), (-F.col("best.back")).alias("start"), "best.length")

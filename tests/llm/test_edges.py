@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from ridgeline.llm import decontaminate, html_text, language_id, line_dedup, media, near_dedup, packing, quality, queries, repeats, url_filter
+from ridgeline.sources.tables import table
 
 SCHEMA = "doc_id long, text string, lang string, id long, key string, words string, rule string, _id string"
 LONG = " ".join(f"word{i % 977}" for i in range(60000))
@@ -42,6 +43,13 @@ def test_decontamination(spark, docs):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_by_joins_is_the_same(spark, sf_dir, monkeypatch):
+    docs, items = (table(spark, sf_dir, x) for x in ("documents", "benchmark"))
+    small = sorted(map(str, decontaminate.contaminated(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert small and sorted(map(str, decontaminate.contaminated(docs, items).collect())) == small
+
+
 def test_lines(docs):
     out = line_dedup.dedup_lines(docs)
     assert out.columns == [*docs.columns, "n_lines", "n_removed_lines", "n_removed_chunks"]
