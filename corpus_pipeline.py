@@ -34,12 +34,20 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that with the smallest id; of rows that share it, one."""
-    docs = docs.select(*COLUMNS).withColumn("_node", near_dedup.node_of(F.col("doc_id"), F.col("text")))
-    found = materialize(near_dedup.components(docs.select(F.col("_node").alias("id"), F.coalesce("text", F.lit("")).alias("text"))), "groups")
-    out = docs.join(found.where("kept").select(F.col("id").alias("_node")).distinct(), "_node", "left_semi")
+    """One document of each group, that with the smallest id (none last); of rows that share id and text, one.
+
+    Rows that share an id alone are different documents: each id and text has its own node, by a hash.
+    """
+    docs = docs.select(*COLUMNS).withColumn("_text", F.coalesce("text", F.lit("")))
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\0"), "_text")
+    docs = docs.withColumn("_node", near_dedup.node_of(F.lit(None).cast("long"), named))
+    found = materialize(near_dedup.components(docs.select(F.col("_node").alias("id"), F.col("_text").alias("text"))), "groups")
+    ids = docs.select("_node", F.col("doc_id").isNull().alias("nameless"), "doc_id").distinct()
+    labels = found.select(F.col("id").alias("_node"), "component_id").distinct()
+    first = ids.join(labels, "_node").groupBy("component_id").agg(F.min(F.struct("nameless", "doc_id", "_node")).alias("_first"))
+    out = docs.join(first.select("_first._node"), "_node", "left_semi")
     if not found.groupBy("id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["_node"])
+        out = out.groupBy("_node").agg(F.min(F.struct(*COLUMNS)).alias("_row")).select("_row.*")
     return out.select(*COLUMNS)
 
 
