@@ -47,22 +47,24 @@ class Encoder:
         self.turned = [np.roll(base, N - 1 - k, axis=1) for k in range(N)]
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The n-grams of all texts: text number, n-gram and count. Words are bounded by one blank."""
-        joined = "\0".join(texts).lower()
+        """The n-grams of all texts: text number, n-gram and count. Words and texts are bounded by one blank."""
+        joined = f"\0{chr(0).join(texts)}\0".lower()
         points = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-        if joined.count("\0") != len(texts) - 1 or len(texts) == 0:  # a text that holds the separator itself
+        if joined.count("\0") != len(texts) + 1 or len(texts) == 0:  # a text that holds the separator itself
             return self._one_by_one(texts)
-        text = np.cumsum(points == 0, dtype=np.int64)
+        text = np.cumsum(points == 0, dtype=np.int64) - 1
         x = self.letters[points]
-        keep = (x > 0) | np.concatenate([[True], x[:-1] > 0]) | (points == 0)  # runs of other characters become one
-        x, text, cut = x[keep].astype(np.int64), text[keep], (points == 0)[keep]
+        # runs of other characters become one; a separator is the blank after one text and before the next
+        keep = (x > 0) | np.concatenate([[True], x[:-1] > 0]) | (points == 0)
+        x, text = x[keep].astype(np.int64), text[keep]
         if len(x) < N:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         gram = np.zeros(len(x) - N + 1, np.int64)
         for k in range(N):
             gram = (gram << BITS) | x[k : len(x) - N + 1 + k]
-        whole = (text[: len(gram)] == text[N - 1 :]) & (x[1 : len(gram) + 1] > 0) & ~cut[: len(gram)]
-        both, counts = np.unique((text[: len(gram)][whole] << (BITS * N)) | gram[whole], return_counts=True)
+        # an n-gram belongs to the text of its middle letter, and at most one separator is beside that
+        whole, text = x[1 : len(gram) + 1] > 0, text[1 : len(gram) + 1]
+        both, counts = np.unique((text[whole] << (BITS * N)) | gram[whole], return_counts=True)
         return both >> (BITS * N), both & ((1 << BITS * N) - 1), counts
 
     def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
