@@ -2,7 +2,7 @@
 
 The page is cut into blocks at block-level tags. A block knows its words, its link density, both for its
 neighbours too, and whether it lies in an element that by name or class holds page furniture, or in the
-article. A decision tree, grown on the small labelled table below, tells which blocks are main text.
+article. The body and the elements around the article are no furniture. A decision tree, grown on the small labelled table below, tells which blocks are main text.
 
 Defined results: null or empty html, or a page without main text, gives an empty text; unclosed, crossing
 or cut-off tags end at the page's end; an element is never closed by a tag that wasn't opened.
@@ -30,7 +30,9 @@ ARTICLE = frozenset("article main".split())
 #: Words in a class, id or role that name furniture, or the article.
 FURNITURE_WORDS = frozenset("ad ads advert adverts advertisement advertising alert alertdialog banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright discussion disqus footer form gdpr header login menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split())
 ARTICLE_WORDS = frozenset("article articlebody content entry main post story".split())
-WORDS = re.compile(r"[a-z]+")
+#: Parts of a class, id or role by which it tells of a page's layout or state rather than of what the element holds.
+STATE_WORDS = frozenset("closed disabled enabled fixed has hidden hide is layout no not off on open page show single template to with without wrapper".split())
+PARTS = re.compile(r"[a-z]+")
 #: Elements that an unclosed one of the same kind ends.
 SELF_ENDING = frozenset("p li dd dt option tr td th".split())
 
@@ -46,6 +48,10 @@ LABELLED = [
     (9, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1), (7, 0.0, 50, 0.0, 80, 0.0, 0, 0, 1), (12, 0.0, 40, 0.0, 35, 0.0, 0, 0, 1), (18, 0.1, 55, 0.0, 10, 0.0, 0, 0, 1),
     (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0), (4, 1.0, 60, 0.0, 3, 1.0, 0, 0, 0), (3, 1.0, 3, 1.0, 50, 0.0, 0, 0, 0), (6, 0.8, 4, 1.0, 5, 0.9, 0, 0, 0),
     (20, 0.7, 15, 0.8, 12, 0.9, 0, 0, 0), (5, 0.0, 3, 1.0, 4, 1.0, 0, 0, 0), (4, 0.0, 2, 0.0, 3, 0.0, 0, 0, 0), (3, 0.0, 5, 0.5, 2, 1.0, 0, 0, 0),
+    (1, 0.0, 45, 0.0, 60, 0.0, 0, 0, 1), (3, 0.0, 60, 0.0, 70, 0.0, 0, 0, 1), (6, 0.0, 20, 0.0, 25, 0.0, 0, 0, 1), (2, 0.0, 12, 0.0, 14, 0.0, 0, 0, 1),
+    (4, 0.0, 0, 0.0, 60, 0.0, 0, 0, 1), (3, 0.0, 3, 1.0, 40, 0.0, 0, 0, 1), (2, 0.0, 2, 1.0, 14, 0.0, 0, 0, 1), (4, 0.0, 3, 0.0, 60, 0.0, 0, 0, 1),
+    (5, 0.0, 60, 0.0, 4, 0.0, 0, 0, 1), (3, 0.0, 40, 0.0, 2, 0.0, 0, 0, 1), (2, 0.0, 25, 0.0, 0, 0.0, 0, 0, 1), (4, 0.0, 50, 0.0, 2, 1.0, 0, 0, 1),
+    (40, 0.0, 1, 0.0, 5, 0.0, 0, 0, 1), (25, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (60, 0.0, 3, 1.0, 3, 1.0, 0, 0, 1), (12, 0.0, 3, 0.0, 2, 0.0, 0, 0, 1), (9, 0.0, 2, 1.0, 2, 1.0, 0, 0, 1),
     (6, 0.0, 8, 0.0, 0, 0.0, 0, 0, 0), (14, 0.6, 50, 0.0, 2, 1.0, 0, 0, 0), (2, 0.0, 4, 0.0, 6, 0.0, 0, 0, 0), (45, 0.6, 10, 0.9, 12, 0.8, 0, 0, 0),
 ]
 
@@ -91,20 +97,63 @@ def trained_tree() -> tuple:
     return grow(table[:, :-1], table[:, -1])
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element holds furniture, or the article."""
-    furniture, article = tag in FURNITURE, tag in ARTICLE
-    if attributes:
+def _names(words: frozenset[str], tokens: list[str], whole: bool) -> bool:
+    """Whether a token is one of words, or (unless whole) a compound with one that tells of no layout or state."""
+    if any(x in words for x in tokens):
+        return True
+    parts = [] if whole else [PARTS.findall(x) for x in tokens]
+    return any(words.intersection(p) and not STATE_WORDS.intersection(p) for p in parts)
+
+
+def _marks(tag: str, attributes: str, whole: bool) -> tuple[bool, bool, bool]:
+    """Whether an element holds furniture, or the article, and whether its names speak of furniture."""
+    furniture, article, named = tag in FURNITURE, tag in ARTICLE, False
+    if attributes and tag != "body":
         for m in NAMES.finditer(attributes):
-            words = WORDS.findall((m[1] or m[2] or m[3] or "").lower())
-            furniture |= not article and any(w in FURNITURE_WORDS for w in words)
-            article |= any(w in ARTICLE_WORDS for w in words) and not furniture
-    return furniture, article
+            tokens = (m[1] or m[2] or m[3] or "").lower().split()
+            bad = _names(FURNITURE_WORDS, tokens, whole)
+            named |= bad
+            furniture |= not article and bad
+            article |= _names(ARTICLE_WORDS, tokens, whole) and not furniture
+    return furniture, article, named
+
 
+def _unmarked(html: str, whole: bool) -> frozenset[int]:
+    """The elements, by number, that hold the page's article and so are no furniture whatever they are called.
 
-def blocks(html: str) -> Iterator[tuple[str, int, float, bool, bool]]:
-    """Text, words, link density, in furniture, in the article; in page order."""
-    open_tags: list[tuple[str, bool, bool]] = []
+    The article is the article element with the most words, if none with text lies outside furniture and it
+    has more words than all that does.
+    """
+    own: dict[int, int] = {}
+    above: dict[int, tuple[int, ...]] = {}
+    outside = 0
+    for _, words, density, bad, good, path in blocks(html, whole):
+        plain = round(words * (1 - density))
+        if not bad:
+            if good:
+                return frozenset()
+            outside += plain
+        within: list[int] = []
+        for number, furniture, article in path:
+            if article:
+                own[number] = own.get(number, 0) + plain
+                above[number] = tuple(within)
+            if furniture:
+                within.append(number)
+    if not own:
+        return frozenset()
+    # the inner one of several with the same words
+    best = max(own, key=lambda k: (own[k], k))
+    return frozenset(above[best]) if own[best] > outside else frozenset()
+
+
+def blocks(html: str, whole: bool = False, unmarked: frozenset[int] = frozenset()) -> Iterator[tuple[str, int, float, bool, bool, list]]:
+    """Text, words, link density, in furniture, in the article, and the elements around it; in page order.
+
+    An element around is its number, and whether it is marked as furniture, or as an article by no name of furniture.
+    """
+    open_tags: list[tuple[str, bool, bool, tuple[int, bool, bool]]] = []
+    number = 0
     parts: list[str] = []
     linked: list[str] = []
     in_link, hidden = 0, None
@@ -112,11 +161,11 @@ def blocks(html: str) -> Iterator[tuple[str, int, float, bool, bool]]:
     def state() -> tuple[bool, bool]:
         return (open_tags[-1][1], open_tags[-1][2]) if open_tags else (False, False)
 
-    def flush() -> Iterator[tuple[str, int, float, bool, bool]]:
+    def flush() -> Iterator[tuple[str, int, float, bool, bool, list]]:
         text = unescape("".join(parts)).split()
         if text:
             links = len(unescape("".join(linked)).split())
-            yield " ".join(text), len(text), min(1.0, links / len(text)), *state()
+            yield " ".join(text), len(text), min(1.0, links / len(text)), *state(), [x[3] for x in open_tags]
         parts.clear()
         linked.clear()
 
@@ -158,20 +207,32 @@ def blocks(html: str) -> Iterator[tuple[str, int, float, bool, bool]]:
         elif not attributes.endswith("/"):
             if tag in SELF_ENDING and open_tags and open_tags[-1][0] == tag:
                 open_tags.pop()
-            bad, good = _marks(tag, attributes)
+            bad, good, named = _marks(tag, attributes, whole)
+            number += 1
+            bad &= number not in unmarked
             was_bad, was_good = state()
-            open_tags.append((tag, was_bad or bad, (was_good and not bad) or good))
+            open_tags.append((tag, was_bad or bad, (was_good and not bad) or good, (number, bad, good and not named)))
     yield from flush()
 
 
-def main_text(html: str | None, tree: tuple) -> str:
-    found = list(blocks(html or ""))
-    kept = []
-    for k, (text, words, density, bad, good) in enumerate(found):
+def _selected(html: str, tree: tuple, whole: bool) -> list[str]:
+    found = list(blocks(html, whole))
+    if any(x[3] for x in found) and (unmarked := _unmarked(html, whole)):
+        found = list(blocks(html, whole, unmarked))
+    main = []
+    for k, (_, words, density, bad, good, _) in enumerate(found):
         before, after = found[k - 1] if k else ("", 0, 0.0), found[k + 1] if k + 1 < len(found) else ("", 0, 0.0)
-        if is_main(tree, (words, density, before[1], before[2], after[1], after[2], bad, good)):
-            kept.append(text)
-    return "\n\n".join(kept)
+        main.append(is_main(tree, (words, density, before[1], before[2], after[1], after[2], bad, good)))
+    if any(main) and not any(x[4] and not x[3] for x in found):
+        # without an article's mark, what lies between main blocks is main too, however short; links and furniture are not
+        first, last = main.index(True), len(main) - 1 - main[::-1].index(True)
+        main = [m or (first < k < last and not x[3] and x[2] <= 0.5) for k, (m, x) in enumerate(zip(main, found, strict=True))]
+    return [x[0] for m, x in zip(main, found, strict=True) if m]
+
+
+def main_text(html: str | None, tree: tuple) -> str:
+    # where compound names make furniture of all, only whole names count
+    return "\n\n".join(_selected(html or "", tree, False) or _selected(html or "", tree, True))
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
