@@ -2,10 +2,10 @@
 
 Documents become token ids plus one end id; longer ones are cut at the sequence length. Pieces are dealt
 by hash into groups of bounded size, and each group is packed on its own: best fit by decreasing length,
-then a local search over the underfull bins. It takes the emptiest bin and moves its pieces into others,
-or exchanges one of them for one or two shorter pieces of another bin, whenever that raises the sum of
-squared fills; emptied bins go. A group leaves at most a few underfull bins among thousands, so the
-number of sequences stays within a fraction of a percent of the total length.
+then a local search over the underfull bins. It takes each of them, the emptiest first, and moves its
+pieces into any other, or exchanges one of them for any one or two shorter pieces of any other, as long as
+that raises the sum of squared fills; emptied bins go. It ends at the fewest possible bins, or where no
+such step is left. Groups with hardly any short piece can end above the fewest; README has figures.
 
 Defined results: null text is empty and becomes the end id alone; repeated rows are packed each on their
 own; an empty table gives an empty result.
@@ -13,7 +13,6 @@ own; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
 import struct
 import zlib
 from bisect import bisect_left, insort
@@ -30,8 +29,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 GROUP = 16384
 #: Words whose ids a worker remembers before it starts anew.
 REMEMBERED = 400_000
-#: Exchanges are looked for among so many of the fullest bins that are underfull.
-PARTNERS = 256
+#: Stands for a choice that is gone.
+LARGE = 1 << 40
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 #: The words of the tokenizer's own pre-tokenization, and the texts on which its normalizer only lower-cases.
@@ -123,57 +122,121 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+class Exchanges:
+    """Every move into an underfull bin, and every exchange for one or two of its pieces, by what the bin gives back.
+
+    Pieces of one length are one choice, so a bin has at most about 2,000 choices, whatever it holds.
+    """
+
+    def __init__(self, bins: list[list[int]], size: list[int], capacity: int):
+        self.bins, self.size, self.capacity = bins, size, capacity
+        self.fill = np.array([sum(size[i] for i in b) for b in bins], np.int64)
+        self.back = np.zeros(0, np.int64)
+        self.bin = np.zeros(0, np.int64)
+        self.count = 0
+        self.spans: dict[int, tuple[int, int]] = {}
+        self.renew([k for k in range(len(bins)) if 0 < self.fill[k] < capacity])
+
+    def _choices(self, k: int) -> np.ndarray:
+        """0, the lengths of bin k, and the sums of two of them."""
+        counts: dict[int, int] = {}
+        for i in self.bins[k]:
+            counts[self.size[i]] = counts.get(self.size[i], 0) + 1
+        one = np.array(sorted(counts), np.int64)
+        two = (one[:, None] + one[None, :])[np.triu_indices(len(one), 1)]
+        twice = np.array([2 * n for n, c in counts.items() if c > 1], np.int64)
+        return np.unique(np.concatenate([[0], one, two, twice]))
+
+    def renew(self, changed: list[int]) -> None:
+        """Take in what these bins hold now."""
+        for k in changed:
+            if k in self.spans:
+                a, b = self.spans.pop(k)
+                self.back[a:b] = LARGE
+        new = [(k, self._choices(k)) for k in changed if 0 < self.fill[k] < self.capacity]
+        need = sum(len(x) for _, x in new)
+        if self.count + need > len(self.back):
+            live = self.back[: self.count] < LARGE
+            back, bins = self.back[: self.count][live], self.bin[: self.count][live]
+            self.count = len(back)
+            room = 2 * (self.count + need) + 1024
+            self.back, self.bin = np.full(room, LARGE), np.zeros(room, np.int64)
+            self.back[: self.count], self.bin[: self.count] = back, bins
+            starts = np.flatnonzero(np.diff(bins, prepend=-1)).tolist()
+            self.spans = {int(bins[a]): (a, b) for a, b in zip(starts, [*starts[1:], self.count], strict=False)}
+        for k, x in new:
+            self.back[self.count : self.count + len(x)], self.bin[self.count : self.count + len(x)] = x, k
+            self.spans[k] = (self.count, self.count + len(x))
+            self.count += len(x)
+
+    def best(self, source: int, n: int) -> tuple[int, int] | None:
+        """The bin, and the length it gives back for a piece of n of source, that gain most; the fullest of several."""
+        back, bins = self.back[: self.count], self.bin[: self.count]
+        at = np.flatnonzero(back < n)
+        back, bins = back[at], bins[at]
+        fill = self.fill[bins] + n - back
+        # the sum of squared fills rises exactly if the bin ends fuller than the source was
+        fits = np.flatnonzero((fill <= self.capacity) & (fill > self.fill[source]) & (bins != source))
+        if not len(fits):
+            return None
+        k = fits[np.lexsort((bins[fits], -fill[fits], back[fits]))[0]] if len(fits) > 1 else fits[0]
+        return int(bins[k]), int(back[k])
+
+    def swap(self, source: int, i: int, k: int, back: int) -> None:
+        """Piece i of source goes to bin k, and pieces of that length together come back."""
+        own, size = self.bins[k], self.size
+        given: list[int] = []
+        if back:
+            by_size: dict[int, list[int]] = {}
+            for j in own:
+                by_size.setdefault(size[j], []).append(j)
+            if back in by_size:
+                given = [by_size[back][0]]
+            else:
+                first = next(m for m in by_size if back - m in by_size and (2 * m != back or len(by_size[m]) > 1))
+                given = [by_size[first][0], by_size[back - first][-1]]
+        for j in given:
+            own.remove(j)
+        own.append(i)
+        self.bins[source].remove(i)
+        self.bins[source].extend(given)
+        self.fill[k] += size[i] - back
+        self.fill[source] += back - size[i]
+
+
 def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """The local search: raises the sum of squared fills by moves and exchanges, and drops emptied bins.
 
-    It ends when the fewest possible bins are left, or no bin could be emptied in a pass.
+    Each pass goes through all underfull bins, the emptiest first. It ends when the fewest possible bins are
+    left, or no move or exchange of any bin raises the sum.
     """
     size = lengths.tolist()
-    fill = [sum(size[i] for i in b) for b in bins]
-    fewest = -(-sum(fill) // capacity)
-    under = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])
+    fewest = -(-sum(size) // capacity)
     alive = len(bins)
-    while alive > fewest and len(under) > 1:
-        source = under[0]
-        others = under[:0:-1][:PARTNERS]
-        moved = True
-        while moved and bins[source]:
-            moved = False
-            for i in sorted(bins[source], key=lambda i: -size[i]):
-                n = size[i]
-                best = None
-                for k in others:  # the fullest first
-                    free = capacity - fill[k]
-                    if free >= n:
-                        best = (n, k, ())
-                        break
-                    if fill[k] + n <= fill[source]:
+    if alive <= fewest:
+        return bins
+    state = Exchanges(bins, size, capacity)
+    changed = True
+    while changed and alive > fewest:
+        changed = False
+        for source in sorted(np.flatnonzero((state.fill > 0) & (state.fill < capacity)).tolist(), key=lambda k: state.fill[k]):
+            moved = True
+            while moved and bins[source] and state.fill[source] < capacity:
+                moved = False
+                tried = set()
+                for i in sorted(bins[source], key=lambda i: -size[i]):
+                    if size[i] in tried:
                         continue
-                    fits = [j for j in bins[k] if n - free <= size[j] < n]  # one for one
-                    if fits:
-                        j = min(fits, key=lambda j: size[j])
-                        if best is None or n - size[j] > best[0]:
-                            best = (n - size[j], k, (j,))
-                    small = heapq.nsmallest(2, bins[k], key=lambda j: size[j])  # one for two
-                    if len(small) == 2 and n - free <= size[small[0]] + size[small[1]] < n:
-                        gain = n - size[small[0]] - size[small[1]]
-                        if best is None or gain > best[0]:
-                            best = (gain, k, tuple(small))
-                if best and fill[best[1]] + best[0] > fill[source] - best[0]:
-                    gain, k, back = best
-                    bins[source].remove(i)
-                    for j in back:
-                        bins[k].remove(j)
-                        bins[source].append(j)
-                    bins[k].append(i)
-                    fill[k] += gain
-                    fill[source] -= gain
-                    moved = True
-                    break
-        if bins[source]:
-            break
-        alive -= 1
-        under = sorted((k for k in under[1:] if fill[k] < capacity), key=lambda k: fill[k])
+                    tried.add(size[i])
+                    found = state.best(source, size[i])
+                    if found:
+                        state.swap(source, i, *found)
+                        state.renew([source, found[0]])
+                        moved = changed = True
+                        break
+            alive -= not bins[source]
+            if alive <= fewest:
+                break
     return [b for b in bins if b]
 
 
