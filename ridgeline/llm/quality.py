@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 18
-#: At most so many graded documents train, taken in order of a hash of their id.
+#: At most so many graded documents train, taken in order of a hash of their id; of rows that share an id, one.
 TRAINING = 6000
 #: Words that a worker remembers before it starts anew.
 REMEMBERED = 400_000
@@ -96,7 +96,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, passes: int
 
 
 def train(docs: DataFrame, graded: DataFrame, grades: int, id_col: str = "doc_id", text: str = "text", limit: int = TRAINING) -> Model:
-    """graded: id, grade from 0. At most limit of them train."""
+    """graded: id, grade from 0. At most limit of them train, each with the text of the smallest hash that its id has."""
     chosen = graded.select(F.col(id_col).alias("_id"), F.col("grade").cast("int").alias("_grade")).where("_id IS NOT NULL AND _grade IS NOT NULL")
     chosen = chosen.groupBy("_id").agg(F.min("_grade").alias("_grade")).orderBy(F.xxhash64("_id"), "_id").limit(limit)
 
@@ -107,7 +107,8 @@ def train(docs: DataFrame, graded: DataFrame, grades: int, id_col: str = "doc_id
             yield pd.DataFrame([(b.astype("<i4").tobytes(), v.astype("<f4").tobytes(), g) for b, v, g in rows], columns=["b", "v", "g"])
 
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    found = texts.join(F.broadcast(chosen), "_id").mapInPandas(run, "b binary, v binary, g int").collect()
+    texts = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_grade").agg(F.min(F.struct(F.xxhash64("_text").alias("hash"), F.col("_text").alias("text"))).alias("_least"))
+    found = texts.select(F.col("_least.text").alias("_text"), "_grade").mapInPandas(run, "b binary, v binary, g int").collect()
     return fit(sorted(((np.frombuffer(r["b"], "<i4").astype(np.int64), np.frombuffer(r["v"], "<f4").astype(float), r["g"]) for r in found), key=lambda x: (x[2], len(x[0]), x[0].tobytes())), grades)
 
 
