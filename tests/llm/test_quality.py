@@ -1,16 +1,45 @@
-"""Labelled ids that repeat."""
+"""Training rows, held-out labels and what is defined without grades."""
 
 from __future__ import annotations
 
-from ridgeline.llm import quality
+import numpy as np
+from pyspark.sql import functions as F
 
+from ridgeline.llm import quality, queries
+from ridgeline.sources.tables import table
 
-def test_a_labelled_id_trains_once(spark, monkeypatch):
-    seen = []
-    fit = quality.fit
-    monkeypatch.setattr(quality, "fit", lambda rows, grades: seen.append(rows) or fit(rows, grades, passes=2))
+
+def test_a_labelled_id_trains_once(spark):
     rows = [(1, f"text {i % 7} of the hot id") for i in range(50)] + [(2, "second"), (3, None), (4, "without a label")]
     graded = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (9, 1)], "doc_id long, grade int")
-    models = [quality.train(spark.createDataFrame(own, "doc_id long, text string"), graded, 2) for own in (rows, rows[::-1])]
-    assert [sorted(r[2] for r in own) for own in seen] == [[0, 1, 1]] * 2
+    both = [spark.createDataFrame(own, "doc_id long, text string") for own in (rows, rows[::-1])]
+    assert [sorted(r["g"] for r in quality.training_rows(own, graded).collect()) for own in both] == [[0, 1, 1]] * 2
+    models = [quality.train(own, graded, 2) for own in both]
     assert (models[0].weights == models[1].weights).all()
+
+
+def test_held_out_grades(spark):
+    """A third of the labels never trains; its documents are told apart all the same."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), queries.graded(table(spark, sf_dir, "labels"))
+    held_out = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    model = quality.train(docs, labels.where(~held_out), queries.GRADES)
+    found = quality.score(docs, model, queries.GOOD).join(labels.where(held_out), "doc_id").collect()
+    rows = [(r["tail_probability"] >= 0.5, r["grade"] == queries.GOOD) for r in found if r["grade"] is not None]
+    assert np.mean([kept for kept, good in rows if good]) >= 0.8 <= np.mean([not kept for kept, good in rows if not good])
+    by_grade = [np.mean([r["expected_grade"] for r in found if r["grade"] == g]) for g in range(3)]
+    assert by_grade == sorted(by_grade)
+
+
+def test_without_grades_every_probability_is_one_half(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, None), (None, "")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, grade int")
+    rows = quality.score(docs, quality.train(docs, none, 3), 2).collect()
+    assert [(r["expected_grade"], r["tail_probability"]) for r in rows] == [(1.0, 0.5)] * 3
+
+
+def test_thresholds_are_in_order():
+    rng = np.random.default_rng(1)
+    rows = [(np.unique(rng.integers(0, 50, 8)) + 50 * g, np.ones(1), g) for g in rng.integers(0, 4, 60)]
+    model = quality.fit([(b, np.full(len(b), len(b) ** -0.5), int(g)) for b, _, g in rows], 4)
+    assert (np.diff(model.thresholds) > 0).all()
