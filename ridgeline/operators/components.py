@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.sources.scratch import materialize
+from ridgeline.operators.skew import split_join
+from ridgeline.sources.scratch import discard, materialize
 
 
 def _signature(edges: DataFrame) -> tuple[int, int]:
@@ -21,7 +22,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Every pass rewires each node's larger neighbours to the smallest node it sees (large star), then
     each node's smaller neighbours likewise (small star), until the edges no longer change; chains
-    shrink geometrically. Neighbour lists are only ever reduced to a minimum, so a hub needs no memory.
+    shrink geometrically. Neighbour lists are only ever reduced to a minimum, so a hub needs no memory, and
+    a hub's edges are joined where they lie.
     Null ends, self loops and repeated edges are ignored; an empty edge list gives an empty result.
     """
     a, b = F.col(src), F.col(dst)
@@ -34,18 +36,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     seen = _signature(e)
     for _ in range(max_passes):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        low = materialize(low, "least")
+        large = split_join(both.where(F.col("v") > F.col("u")), low, ["u"], "n", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.distinct(), "large-star")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
         small = (
-            large.join(least, "u")
+            split_join(large, least, ["u"], "n", 2 * seen[0])
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where(F.col("u") != F.col("v"))
             .distinct()
         )
-        e = materialize(small, "edges")
+        before, e = e, materialize(small, "edges")
+        for done in (before, low, large, least):
+            discard(done)
         now = _signature(e)
         if now == seen:
             break
