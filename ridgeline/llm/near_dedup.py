@@ -5,14 +5,15 @@ tuple of the first with one of the second, so 2 * COLLECTION * ROWS minhashes se
 2 * ROWS rows each. Only tuples that two documents share can make a shared key, so single ones go before
 the pairs are formed.
 
-Documents with equal sets become one first. In each bucket, documents are then compared with a few pivots,
-smallest by one order for all buckets, and joined into components; in the end every two documents of one
-bucket that are still apart, share enough by size and by the shingles that no other document has, and agree
-in enough minhashes, are compared. No bucket is gathered
-in a task, and no bucket emits all its pairs.
+Documents with equal sets become one first. In each bucket, documents are then compared with a few pivots
+and joined into components: first with the document that has fewest rare shingles (those that at most three
+documents have), which in a bucket of copies is the one nearest to all of them, then with some more. Those
+that share a rare shingle are compared at once. In the end a document that is apart from others of its bucket
+is compared with each of those that it may link with: of another component, with enough shingles that are
+not rare, and with enough equal minhashes. What is not apart is never paired, and no bucket is gathered in a task.
 
-At similarity 0.75 a link is missed with a probability of about 3 in 10,000 by the tables, and of 1 in
-100,000 by the agreement of minhashes.
+At similarity 0.75 a link is missed with a probability of about 4 in 100,000 by the tables, and of 3 in a
+hundred million by the agreement of minhashes.
 
 Defined results: null or blank texts have no shingles and link with nothing; texts without an id take part
 behind all ids, and come back with null in place of theirs; rows that share an id are one document with all
@@ -33,14 +34,14 @@ from ridgeline.operators.components import connected_components
 from ridgeline.sources.scratch import materialize
 
 SHINGLE = 5
-ROWS, COLLECTION = 3, 16
+ROWS, COLLECTION = 3, 20
 #: Least similarity in percent.
 PERCENT = 75
 #: Pivots of a bucket in each round before the last.
 PIVOTS = (1, 8)
 #: Documents that share a bucket have MARKS more minhashes, as 4-bit digests; so many must agree before two sets are compared.
 #: At similarity 0.75, 392 agree on average with a standard deviation of 9.6.
-MARKS, AGREE = 512, 350
+MARKS, AGREE = 512, 340
 SEED = 11
 #: From here on, numbers that stand for texts without an id.
 NAMELESS = 1 << 62
@@ -109,15 +110,17 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(key, id) of the table keys: pairs of a tuple of the first collection and one of the second, both shared."""
+    """(id, key, one, two) of the table keys: pairs of a tuple of the first collection and one of the second, both shared, and their places."""
     halves = classes.select("id", F.posexplode_outer("tuples").alias("place", "tuple"))
     # what a join needs by key is written first: beside an aggregate, Spark cannot split a hot key's rows
     shared = materialize(halves.groupBy("tuple").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tuple"), "shared-tuples")
-    first = F.collect_list(F.when(F.col("place") < COLLECTION, F.col("tuple"))).alias("first")
-    second = F.collect_list(F.when(F.col("place") >= COLLECTION, F.col("tuple"))).alias("second")
+    half = F.struct("place", "tuple")
+    first = F.collect_list(F.when(F.col("place") < COLLECTION, half)).alias("first")
+    second = F.collect_list(F.when(F.col("place") >= COLLECTION, half)).alias("second")
     own = halves.join(shared, "tuple").groupBy("id").agg(first, second)
-    own = own.where((F.size("first") > 0) & (F.size("second") > 0)).select("id", F.explode("first").alias("one"), "second")
-    keys = own.select("id", "one", F.explode("second").alias("two")).select("id", F.xxhash64("one", "two").alias("key"))
+    own = own.where((F.size("first") > 0) & (F.size("second") > 0)).select("id", F.explode("first").alias("a"), "second")
+    keys = own.select("id", "a", F.explode("second").alias("b"))
+    keys = keys.select("id", F.xxhash64("a.tuple", "b.tuple").alias("key"), F.col("a.place").alias("one"), F.col("b.place").alias("two"))
     keys = materialize(keys, "keys")
     full = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     return keys.join(materialize(full, "full-keys"), "key")
@@ -131,11 +134,17 @@ def _differing(a: Column, b: Column) -> Column:
     return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
 
-def _may_link() -> Column:
+def _may_link(also: Column | None = None) -> Column:
     """Whether a and b, of different components, share enough by size and by their digests."""
     most = F.least("a.shared", "b.shared")
-    unlike = sum((_differing(F.get("a.digest", F.lit(k)), F.get("b.digest", F.lit(k))) for k in range(MARKS // 16)), F.lit(0))
-    return (F.col("a.label") != F.col("b.label")) & (100 * most >= PERCENT * (F.col("a.n_shingles") + F.col("b.n_shingles") - most)) & (unlike <= MARKS - AGREE)
+    return (F.col("a.label") != F.col("b.label")) & (100 * most >= PERCENT * (F.col("a.n_shingles") + F.col("b.n_shingles") - most)) & (_alike() if also is None else also & _alike())
+
+
+def _alike() -> Column:
+    """Whether the digests of a and b agree in enough places."""
+    # a lambda over the digest's longs: written out, the sum would be too long a method for the JIT to compile
+    unlike = F.aggregate(F.zip_with("a.digest", "b.digest", _differing), F.lit(0), lambda n, x: n + x)
+    return unlike <= MARKS - AGREE
 
 
 def _apart(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -177,39 +186,72 @@ def components(plain: DataFrame) -> DataFrame:
     members = materialize(table.select("id").distinct(), "members")
     chosen = plain.join(members, "id", "left_semi")
     sets = materialize(full_sets(chosen), "sets")
-    facts = materialize(_shareable(sets), "facts")
-    table = materialize(table.join(facts.select("id"), "id", "left_semi"), "open-buckets")
-    label = members.select("id", F.col("id").alias("label"))
+    facts, by_rare = _shareable(sets)
+    own = F.floor(1000 * (F.col("n_shingles") - F.col("shared")) / F.col("n_shingles")).cast("int")
+    table = materialize(table.join(facts.select("id", own.alias("own")), "id"), "open-buckets")
+    label = _joined(members.select("id", F.col("id").alias("label")), confirmed(by_rare, sets))
     for count in PIVOTS:
-        pivots = table.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(k))) if k else F.min("id") for k in range(count)])).alias("pivots"))
+        order = lambda k: F.struct(F.when(F.lit(k % 2 == 0), F.col("own")).otherwise(0), F.xxhash64("id", F.lit(k)))
+        pivots = table.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by("id", order(k)) for k in range(count)])).alias("pivots"))
         pivots = materialize(pivots, "pivots")
         found = table.join(pivots, "key").select("id", F.explode_outer("pivots").alias("pivot")).where("id != pivot").distinct()
-        if count > 1:
-            found = _apart(found, label.join(facts, "id"))
+        found = _apart(found, label.join(facts, "id"))
         label = _joined(label, confirmed(found.select(F.greatest("id", "pivot").alias("src"), F.least("id", "pivot").alias("dst")).distinct(), sets))
-    apart = table.join(label, "id").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    apart = materialize(apart, "apart")
-    open_ = table.join(apart, "key").join(label.join(facts, "id"), "id")
-    a, b = open_.alias("a"), open_.alias("b")
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") > F.col("b.id")) & _may_link())
-    rest = rest.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
-    label = _joined(label, confirmed(rest, sets))
+        apart = table.join(label, "id").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+        table = materialize(table.join(materialize(apart, "apart"), "key"), "open-buckets")
+    # equal tuples have equal 32 bits; that others have them too is as unlikely as that two hashes of shingles agree
+    tuples = classes.select("id", F.transform("tuples", lambda x: F.shiftright(x, 32).cast("int")).alias("tuples"))
+    open_ = materialize(table.join(label.join(facts, "id").join(tuples, "id"), "id"), "open")
+    label = _joined(label, confirmed(_left_apart(open_), sets))
     whole = classes.select(*same, "id").join(label, "id", "left").select(*same, F.coalesce("label", "id").alias("component_id"))
     component = F.coalesce("component_id", "id")
     return narrow.join(whole, same, "left").select("id", "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
-def _shareable(sets: DataFrame) -> DataFrame:
-    """id, n_shingles, shared and digest of the documents that can link with any other at all.
+def _left_apart(open_: DataFrame) -> DataFrame:
+    """The pairs (src, dst) of a bucket that may link, one of each not in the bucket's largest component.
 
-    A shingle that one document alone has is in no intersection and in every union, so shared, the number of
-    the others, bounds both; a document with too few of them needs no comparison.
+    A row stays only if some row of another component is small enough for it: at similarity p, n + n' <= s (1 + 1 / p)
+    for the shingles s that it shares with anyone.
+    """
+    each = materialize(open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min("n_shingles").alias("least")), "bucket-labels")
+    least = F.min(F.struct("least", "label"))
+    of_key = each.groupBy("key").agg(F.max(F.struct("n", "label")).getField("label").alias("main"), least.alias("one"))
+    two = each.join(of_key.select("key", F.col("one.label").alias("label")), ["key", "label"], "left_anti").groupBy("key").agg(F.min("least").alias("next_least"))
+    of_key = materialize(of_key.join(two, "key").select("key", "main", F.col("one.label").alias("least_label"), F.col("one.least").alias("least"), "next_least"), "bucket-sizes")
+    other = F.when(F.col("label") == F.col("least_label"), F.col("next_least")).otherwise(F.col("least"))
+    rows = open_.join(of_key, "key").where(PERCENT * (F.col("n_shingles") + other) <= (100 + PERCENT) * F.col("shared"))
+    rows = materialize(rows.select("key", "id", "label", "n_shingles", "shared", "digest", "tuples", "one", "two", (F.col("label") == F.col("main")).alias("inner")), "left-apart")
+    a, b = rows.where("NOT inner").alias("a"), rows.alias("b")
+    # two rows have many buckets in common: they are paired in that of their first common tuples
+    equal = F.zip_with("a.tuples", "b.tuples", lambda x, y: x == y)
+    first = (F.array_position(equal, True) == F.col("a.one") + 1) & (F.array_position(F.slice(equal, COLLECTION + 1, COLLECTION), True) == F.col("a.two") + 1 - COLLECTION)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("b.inner") | (F.col("a.id") > F.col("b.id"))) & _may_link(first))
+    return pairs.select(F.greatest("a.id", "b.id").alias("src"), F.least("a.id", "b.id").alias("dst")).distinct()
+
+
+def _shareable(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """id, n_shingles, shared and digest of the documents that can link with any other at all; pairs by rare shingles.
+
+    Two or three documents that alone have a shingle are paired at once, which makes at most three pairs a
+    shingle. Any other two have only shingles in common that more documents have; shared, the number of those,
+    bounds what two sets have in common, and a document with too few of them needs no further comparison.
     """
     each = sets.select("id", F.explode_outer("shingles").alias("shingle"))
-    alone = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    ends = [F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor("id").alias("all"), F.count(F.lit(1)).alias("n")]
+    rare = each.groupBy("shingle").agg(*ends).where("n <= 3").select("low", "high", F.when(F.col("n") == 3, F.expr("all ^ low ^ high")).alias("middle"))
+    rare = materialize(rare, "rare-shingles")
+    alone = rare.select(F.explode(F.array_distinct(F.array("low", "high", "middle"))).alias("id")).where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("rare"))
+    pair = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    pairs = rare.where("low < high").select(F.explode(F.array(pair("high", "low"), pair("middle", "low"), pair("high", "middle"))).alias("p"))
+    pairs = pairs.select("p.*").where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("both"))
     known = sets.select("id", F.size("shingles").cast("long").alias("n_shingles"), "digest").join(alone, "id", "left")
-    known = known.select("id", "n_shingles", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("shared"), "digest")
-    return known.where(100 * F.col("shared") >= PERCENT * F.col("n_shingles"))
+    known = materialize(known.select("id", "n_shingles", (F.col("n_shingles") - F.coalesce("rare", F.lit(0))).alias("shared"), "digest"), "facts")
+    a, b = known.alias("a"), known.select(F.col("id").alias("dst"), F.struct("n_shingles", "shared", "digest").alias("b"))
+    pairs = pairs.join(a.select(F.col("id").alias("src"), F.struct("n_shingles", "shared", "digest").alias("a")), "src").join(b, "dst")
+    most = F.least("a.shared", "b.shared") + F.col("both")
+    likely = (100 * most >= PERCENT * (F.col("a.n_shingles") + F.col("b.n_shingles") - most)) & _alike()
+    return known.where(100 * F.col("shared") >= PERCENT * F.col("n_shingles")), pairs.where(likely).select("src", "dst")
 
 
 def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
