@@ -5,9 +5,9 @@ tuple of the first with one of the second, so 2 * COLLECTION * ROWS minhashes se
 2 * ROWS rows each. Only tuples that two documents share can make a shared key, so single ones go before
 the pairs are formed.
 
-Documents with equal sets become one first. In each bucket, documents are then compared with a few pivots
-and joined into components: first with the document that has fewest rare shingles (those that at most three
-documents have), which in a bucket of copies is the one nearest to all of them, then with some more. Those
+Documents with equal sets become one first. In each bucket, documents are then compared with a pivot
+and joined into components: the document that has fewest rare shingles (those that at most three
+documents have), which in a bucket of copies is the one nearest to all of them. Those
 that share a rare shingle are compared at once. In the end a document that is apart from others of its bucket
 is compared with each of those that it may link with: of another component, with enough shingles that are
 not rare, and with enough equal minhashes. What is not apart is never paired, and no bucket is gathered in a task.
@@ -31,14 +31,12 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.shingles import Powers, shingle_sets
 from ridgeline.operators.components import connected_components
-from ridgeline.sources.scratch import materialize
+from ridgeline.sources.scratch import discard, materialize
 
 SHINGLE = 5
 ROWS, COLLECTION = 3, 20
 #: Least similarity in percent.
 PERCENT = 75
-#: Pivots of a bucket in each round before the last.
-PIVOTS = (1, 8)
 #: Documents that share a bucket have MARKS more minhashes, as 4-bit digests; so many must agree before two sets are compared.
 #: At similarity 0.75, 392 agree on average with a standard deviation of 9.6.
 MARKS, AGREE = 512, 340
@@ -110,20 +108,22 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(id, key, one, two) of the table keys: pairs of a tuple of the first collection and one of the second, both shared, and their places."""
+    """(key, id) of the table keys: pairs of a tuple of the first collection and one of the second, both shared."""
     halves = classes.select("id", F.posexplode_outer("tuples").alias("place", "tuple"))
     # what a join needs by key is written first: beside an aggregate, Spark cannot split a hot key's rows
     shared = materialize(halves.groupBy("tuple").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tuple"), "shared-tuples")
-    half = F.struct("place", "tuple")
-    first = F.collect_list(F.when(F.col("place") < COLLECTION, half)).alias("first")
-    second = F.collect_list(F.when(F.col("place") >= COLLECTION, half)).alias("second")
+    first = F.collect_list(F.when(F.col("place") < COLLECTION, F.col("tuple"))).alias("first")
+    second = F.collect_list(F.when(F.col("place") >= COLLECTION, F.col("tuple"))).alias("second")
     own = halves.join(shared, "tuple").groupBy("id").agg(first, second)
-    own = own.where((F.size("first") > 0) & (F.size("second") > 0)).select("id", F.explode("first").alias("a"), "second")
-    keys = own.select("id", "a", F.explode("second").alias("b"))
-    keys = keys.select("id", F.xxhash64("a.tuple", "b.tuple").alias("key"), F.col("a.place").alias("one"), F.col("b.place").alias("two"))
+    own = own.where((F.size("first") > 0) & (F.size("second") > 0)).select("id", F.explode("first").alias("one"), "second")
+    keys = own.select("id", "one", F.explode("second").alias("two")).select("id", F.xxhash64("one", "two").alias("key"))
     keys = materialize(keys, "keys")
     full = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    return keys.join(materialize(full, "full-keys"), "key")
+    full = materialize(full, "full-keys")
+    out = materialize(keys.join(full, "key"), "buckets")
+    for done in (shared, keys, full):
+        discard(done)
+    return out
 
 
 def _differing(a: Column, b: Column) -> Column:
@@ -182,26 +182,26 @@ def components(plain: DataFrame) -> DataFrame:
         signed.where("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("id"), F.min("tuples").alias("tuples")),
         "classes",
     )
-    table = materialize(buckets(classes.select("id", "tuples")), "buckets")
+    table = buckets(classes.select("id", "tuples"))
     members = materialize(table.select("id").distinct(), "members")
     chosen = plain.join(members, "id", "left_semi")
     sets = materialize(full_sets(chosen), "sets")
     facts, by_rare = _shareable(sets)
     own = F.floor(1000 * (F.col("n_shingles") - F.col("shared")) / F.col("n_shingles")).cast("int")
-    table = materialize(table.join(facts.select("id", own.alias("own")), "id"), "open-buckets")
     label = _joined(members.select("id", F.col("id").alias("label")), confirmed(by_rare, sets))
-    for count in PIVOTS:
-        order = lambda k: F.struct(F.when(F.lit(k % 2 == 0), F.col("own")).otherwise(0), F.xxhash64("id", F.lit(k)))
-        pivots = table.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by("id", order(k)) for k in range(count)])).alias("pivots"))
-        pivots = materialize(pivots, "pivots")
-        found = table.join(pivots, "key").select("id", F.explode_outer("pivots").alias("pivot")).where("id != pivot").distinct()
-        found = _apart(found, label.join(facts, "id"))
-        label = _joined(label, confirmed(found.select(F.greatest("id", "pivot").alias("src"), F.least("id", "pivot").alias("dst")).distinct(), sets))
-        apart = table.join(label, "id").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-        table = materialize(table.join(materialize(apart, "apart"), "key"), "open-buckets")
+    likely = materialize(table.join(facts.select("id", own.alias("own")), "id"), "open-buckets")
+    discard(table)
+    pivots = materialize(likely.groupBy("key").agg(F.min_by("id", F.struct("own", F.xxhash64("id"))).alias("pivot")), "pivots")
+    found = _apart(likely.join(pivots, "key").select("id", "pivot").where("id != pivot").distinct(), label.join(facts, "id"))
+    label = _joined(label, confirmed(found.select(F.greatest("id", "pivot").alias("src"), F.least("id", "pivot").alias("dst")).distinct(), sets))
+    apart = likely.join(label, "id").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+    apart = materialize(apart, "apart")
     # equal tuples have equal 32 bits; that others have them too is as unlikely as that two hashes of shingles agree
     tuples = classes.select("id", F.transform("tuples", lambda x: F.shiftright(x, 32).cast("int")).alias("tuples"))
-    open_ = materialize(table.join(label.join(facts, "id").join(tuples, "id"), "id"), "open")
+    open_ = likely.join(apart, "key").select("id").distinct().join(label, "id").join(facts, "id").join(tuples, "id")
+    open_ = materialize(open_, "open")
+    for done in (likely, pivots, apart):
+        discard(done)
     label = _joined(label, confirmed(_left_apart(open_), sets))
     whole = classes.select(*same, "id").join(label, "id", "left").select(*same, F.coalesce("label", "id").alias("component_id"))
     component = F.coalesce("component_id", "id")
@@ -209,25 +209,30 @@ def components(plain: DataFrame) -> DataFrame:
 
 
 def _left_apart(open_: DataFrame) -> DataFrame:
-    """The pairs (src, dst) of a bucket that may link, one of each not in the bucket's largest component.
+    """The pairs (src, dst) that share a table's key and may link, once each.
 
-    A row stays only if some row of another component is small enough for it: at similarity p, n + n' <= s (1 + 1 / p)
-    for the shingles s that it shares with anyone.
+    Rows meet by the tuples of the first collection: they are a twentieth of the keys. Of two rows, one is not
+    in the tuple's largest component; the tuple is the first that both have, and they have one of the second
+    collection in common. A row stays only if some row of another component is small enough for it: at
+    similarity p, n + n' <= s (1 + 1 / p) for the shingles s that it shares with anyone.
     """
-    each = materialize(open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min("n_shingles").alias("least")), "bucket-labels")
-    least = F.min(F.struct("least", "label"))
-    of_key = each.groupBy("key").agg(F.max(F.struct("n", "label")).getField("label").alias("main"), least.alias("one"))
-    two = each.join(of_key.select("key", F.col("one.label").alias("label")), ["key", "label"], "left_anti").groupBy("key").agg(F.min("least").alias("next_least"))
-    of_key = materialize(of_key.join(two, "key").select("key", "main", F.col("one.label").alias("least_label"), F.col("one.least").alias("least"), "next_least"), "bucket-sizes")
+    narrow = open_.select("id", "label", "n_shingles", "shared", F.posexplode(F.slice("tuples", 1, COLLECTION)).alias("one", "key"))
+    bucket = ["one", "key"]
+    each = materialize(narrow.groupBy(*bucket, "label").agg(F.count(F.lit(1)).alias("n"), F.min("n_shingles").alias("least")), "bucket-labels")
+    largest, least = F.max(F.struct("n", "label")).getField("label"), F.min(F.struct("least", "label"))
+    of_key = each.groupBy(*bucket).agg(largest.alias("main"), least.getField("label").alias("least_label"), least.getField("least").alias("least"))
+    others = each.join(of_key.select(*bucket, F.col("least_label").alias("label")), [*bucket, "label"], "left_anti")
+    of_key = materialize(of_key.join(others.groupBy(*bucket).agg(F.min("least").alias("next_least")), bucket), "bucket-sizes")
     other = F.when(F.col("label") == F.col("least_label"), F.col("next_least")).otherwise(F.col("least"))
-    rows = open_.join(of_key, "key").where(PERCENT * (F.col("n_shingles") + other) <= (100 + PERCENT) * F.col("shared"))
-    rows = materialize(rows.select("key", "id", "label", "n_shingles", "shared", "digest", "tuples", "one", "two", (F.col("label") == F.col("main")).alias("inner")), "left-apart")
+    rows = narrow.join(of_key, bucket).where(PERCENT * (F.col("n_shingles") + other) <= (100 + PERCENT) * F.col("shared"))
+    rows = rows.select(*bucket, "id", (F.col("label") == F.col("main")).alias("inner")).join(open_, "id")
+    rows = materialize(rows, "left-apart")
     a, b = rows.where("NOT inner").alias("a"), rows.alias("b")
-    # two rows have many buckets in common: they are paired in that of their first common tuples
     equal = F.zip_with("a.tuples", "b.tuples", lambda x, y: x == y)
-    first = (F.array_position(equal, True) == F.col("a.one") + 1) & (F.array_position(F.slice(equal, COLLECTION + 1, COLLECTION), True) == F.col("a.two") + 1 - COLLECTION)
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("b.inner") | (F.col("a.id") > F.col("b.id"))) & _may_link(first))
-    return pairs.select(F.greatest("a.id", "b.id").alias("src"), F.least("a.id", "b.id").alias("dst")).distinct()
+    here = (F.array_position(equal, True) == F.col("a.one") + 1) & F.array_contains(F.slice(equal, COLLECTION + 1, COLLECTION), True)
+    same = (F.col("a.one") == F.col("b.one")) & (F.col("a.key") == F.col("b.key"))
+    pairs = a.join(b, same & (F.col("b.inner") | (F.col("a.id") > F.col("b.id"))) & _may_link(here))
+    return pairs.select(F.greatest("a.id", "b.id").alias("src"), F.least("a.id", "b.id").alias("dst"))
 
 
 def _shareable(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
