@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.shingles import Powers, U, chunks, mix
+from ridgeline.operators.skew import split_join
 from ridgeline.sources.scratch import discard, materialize
 
 LENGTH, GRAM = 400, 128
@@ -210,14 +211,22 @@ def _resolve_by_count(contexts: DataFrame) -> DataFrame:
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(k1, k2, codes): start * 2^32 + length of byte ranges that are repeated, possibly overlapping."""
     found = materialize(runs(texts), "runs")
-    grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("gram")
-    shared = materialize(found.join(grams, "gram"), "shared-runs")
+    total = found.count()
+    grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    grams = materialize(grams, "shared-grams")
+    shared = materialize(split_join(found, grams, ["gram"], "times", total), "shared-runs")
     discard(found)
+    discard(grams)
     first = F.min(F.struct("k1", "k2", "doc", "at", "lo", "hi")).alias("first")
     contexts = materialize(shared.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"), first), "contexts")
-    whole = shared.join(contexts.where("n > 1").select("gram", "ctx"), ["gram", "ctx"]).select("k1", "k2", _code(F.col("lo"), F.col("hi") + LENGTH).alias("code"))
-    open_ = contexts.groupBy("gram").agg(F.min("n").alias("least_n"), F.count(F.lit(1)).alias("together")).where("least_n = 1 AND together > 1").select("gram", "together")
-    wanted = contexts.join(open_, "gram").select("gram", "ctx", "n", "together", "first.*")
+    whole = split_join(shared, contexts.where("n > 1").select("gram", "ctx", "n"), ["gram", "ctx"], "n", total)
+    whole = materialize(whole.select("k1", "k2", _code(F.col("lo"), F.col("hi") + LENGTH).alias("code")), "whole-runs")
+    discard(shared)
+    open_ = contexts.groupBy("gram").agg(F.min("n").alias("least_n"), F.count(F.lit(1)).alias("together")).where("least_n = 1 AND together > 1")
+    open_ = materialize(open_.select("gram", "together", F.col("together").alias("rows")), "open-grams")
+    wanted = split_join(contexts, open_, ["gram"], "rows", total).select("gram", "ctx", "n", "together", "first.*")
+    wanted = materialize(wanted, "wanted-runs")
+    discard(contexts)
     few = _resolve_together(_contexts(texts, wanted.where(F.col("together") <= TOGETHER)))
     parts = whole.unionByName(few)
     many = wanted.where(F.col("together") > TOGETHER)
@@ -236,13 +245,16 @@ def merged(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and if asked spans (start * 2^32 + length) and the kept bytes."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, repeated (whether any byte goes), and if asked spans and kept.
+
+    spans are start * 2^32 + length of the removed runs, kept the remaining bytes.
+    """
     texts = keyed(docs, id_col, text_col)
     spans = materialize(repeated_spans(texts), "spans")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     own = own.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["spans", "kept"] if keep_bytes else [])]
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<long>, kept binary" * keep_bytes
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "repeated", *(["spans", "kept"] if keep_bytes else [])]
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, repeated boolean" + ", spans array<long>, kept binary" * keep_bytes
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -255,7 +267,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept.append(raw[at:a])
                     at = b
                 left = b"".join([*kept, raw[at:]])
-                row = (doc, len(raw), len(raw) - len(left), len(start), hashlib.sha256(left).hexdigest())
+                row = (doc, len(raw), len(raw) - len(left), len(start), hashlib.sha256(left).hexdigest(), len(left), len(left) < len(raw))
                 rows.append((*row, ((start << 32) + end - start).tolist(), left) if keep_bytes else row)
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
