@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.sources.scratch import materialize
+from ridgeline.sources.scratch import Growing, discard, materialize
 
 LEVELS = (16, 8, 4, 2)
 
@@ -28,18 +28,55 @@ def accumulate(steps: DataFrame, sums: list[str], max_passes: int = 64) -> DataF
 
 
 def reachable(start: DataFrame, edges: DataFrame, max_passes: int = 1000) -> DataFrame:
-    """(node) reached from start (node) along edges (src, dst), by a frontier that leaves out what was seen."""
-    seen = materialize(start.select("node").distinct(), "seen")
-    front, parts = seen, [seen]
+    """(node) reached from start (node) along edges (src, dst). What was seen is one table that every pass adds to."""
+    front = materialize(start.select("node").distinct(), "front")
+    seen = Growing(front, "seen")
     for _ in range(max_passes):
         new = edges.join(front, edges["src"] == front["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
-        front = materialize(reduce(lambda a, b: a.join(b, "node", "left_anti"), parts, new), "front")
+        last, front = front, materialize(new.join(seen.read(), "node", "left_anti"), "front")
+        discard(last)
         if front.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
-        parts.append(front)
+            return seen.read()
+        seen.add(front)
     raise RuntimeError(f"more than {max_passes} steps to the farthest node")
 
 
+def follow(starts: DataFrame, steps: DataFrame, most: int) -> DataFrame:
+    """(start, seq, node): the chain of successors (node, next) from each start, of at most most steps; seq counts from 0.
+
+    Doubling: a pass appends what lies 2**k steps ahead of all that is known, so most needs log2(most) passes.
+    """
+    jump = materialize(steps.select("node", "next").where("next IS NOT NULL"), "jumps")
+    out = materialize(starts.select(F.col("node").alias("start"), F.lit(0).alias("seq"), "node"), "traces")
+    ahead = 1
+    while ahead <= most:
+        far = out.join(jump, "node").select("start", (F.col("seq") + ahead).alias("seq"), F.col("next").alias("node")).where(F.col("seq") <= most)
+        out = materialize(out.unionByName(far), "traces")
+        twice = jump.select(F.col("node").alias("next"), F.col("next").alias("_next"))
+        jump = materialize(jump.join(twice, "next").select("node", F.col("_next").alias("next")), "jumps")
+        ahead *= 2
+    return out
+
+
+def largest_apart(pairs: DataFrame, nodes: DataFrame, max_passes: int = 1000) -> DataFrame:
+    """(node) that a pass in order of rank accepts, each node that no accepted one of a better rank is paired with.
+
+    nodes: node, rank (distinct). pairs: worse, better. Every pass accepts all nodes whose better partners are
+    decided, so passes are as many as the longest chain of ranks, not as nodes.
+    """
+    open_, taken = materialize(nodes.select("node"), "open"), None
+    pairs = materialize(pairs.select("worse", "better").distinct(), "conflicts")
+    for _ in range(max_passes):
+        waits = pairs.join(open_.select(F.col("node").alias("better")), "better", "left_semi").select(F.col("worse").alias("node"))
+        new = materialize(open_.join(waits, "node", "left_anti"), "accepted")
+        if new.isEmpty():
+            return (taken or Growing(new, "taken")).read()
+        taken = taken.add(new) if taken else Growing(new, "taken")
+        gone = pairs.join(new.select(F.col("node").alias("better")), "better", "left_semi").select(F.col("worse").alias("node"))
+        open_ = materialize(open_.join(new, "node", "left_anti").join(gone, "node", "left_anti"), "open")
+    raise RuntimeError(f"ranks not decided in {max_passes} passes")
+
+
 def mesh(cells: DataFrame, fine: Column, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """(r, c, size, leaf_r, leaf_c): each cell's leaf. A block is a leaf if it is whole, of one cost and has no fine cell.
 

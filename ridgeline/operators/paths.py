@@ -75,3 +75,21 @@ def islands(events: DataFrame, key: str, time: str, tie: str, gap_seconds: float
     marked = events.withColumn("_new", F.coalesce((gap > int(gap_seconds * 1e6)).cast("int"), F.lit(1)))
     numbered = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return numbered.groupBy(key, "_run").agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count(F.lit(1)).alias("slots")).drop("_run")
+
+
+def surfaces(points: DataFrame, step: float = 10.0) -> DataFrame:
+    """(path, forest_share, lake_m, runout_m) from forest, water and runout codes; a path without a mask gets null."""
+    metres = lambda c: (F.count(F.when(F.col(c) == 1, 1)) * step).cast("long")
+    if_known = lambda c, x: F.when(F.count(c) > 0, x)
+    share = 100.0 * F.count(F.when(F.col("forest") > 0, 1)) / F.count(F.lit(1))
+    return points.groupBy("path").agg(if_known("forest", share).alias("forest_share"), if_known("water", metres("water")).alias("lake_m"), if_known("runout", metres("runout")).alias("runout_m"))
+
+
+def terrain_class(share: Column) -> Column:
+    return F.when(share >= 60, "trees").when(share <= 20, "open").when(share.isNotNull(), "mixed")
+
+
+def without_head(points: DataFrame, length: float) -> DataFrame:
+    """Points from the last one walked to within length on."""
+    cut = F.max(F.when(F.col("walked") <= length, F.col("seq"))).over(whole())
+    return points.withColumn("_cut", cut).where(F.col("seq") >= F.col("_cut")).drop("_cut")

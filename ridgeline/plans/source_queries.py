@@ -97,7 +97,7 @@ def official_parkings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = objects.withColumn("at", readers.wkt_points(F.col("wkt"))).withColumn("tags", readers.properties(F.col("props")))
     mean = lambda f: F.aggregate("at", F.lit(0.0), lambda a, p: a + p[f], lambda a: a / F.size("at"))
     some = F.size("at") > 0
-    return out.select("id", F.size("at").alias("points"), F.when(some, F.round(mean("lon"), 4)).alias("lon"), F.when(some, F.round(mean("lat"), 4)).alias("lat"), F.try_element_at("tags", F.lit("Navn")).alias("name"), F.exists("props", lambda p: p["value"] == "Ingen vinterdrift").alias("unplowed"))
+    return out.select("id", F.size("at").alias("points"), F.when(some, F.round(mean("lon"), 4)).alias("lon"), F.when(some, F.round(mean("lat"), 4)).alias("lat"), F.try_element_at("tags", F.lit("Navn")).alias("name"), F.exists("props", lambda p: p["value"].eqNullSafe(F.lit("Ingen vinterdrift"))).alias("unplowed"))
 
 
 @query(f"""WITH {SIDE}, {PARKING}, bare AS (SELECT (c_custkey*3571)%(10*n)::DOUBLE AS x, (c_custkey*6007+11)%(10*n)::DOUBLE AS y FROM customer, n WHERE c_custkey % 40 = 0), o AS (SELECT * FROM (VALUES (0, 300e0, 300e0, 250e0, 'closed'), (1, 350e0, 300e0, 200e0, 'plowed'), (2, 600e0, 100e0, 150e0, 'seen open')) v(nr, x, y, radius, status)),

@@ -99,3 +99,23 @@ def plans(docs: DataFrame, column: str) -> DataFrame:
     """docs whose plan is of version 1 and has two points or more, with its fields."""
     out = docs.withColumn("_p", F.from_json(column, PLAN)).where((F.col("_p.version") == 1) & (F.size("_p.points") >= 2))
     return out.select(*[c for c in docs.columns if c != column], "_p.*")
+
+
+def gpx_points(docs: DataFrame, column: str, most: int = 2_000_000) -> DataFrame:
+    """docs' other columns with seq, lat, lon and z of the points of each GPX document, whatever its namespace.
+
+    Of several tracks that named Up counts; without it, documents with more than one track or segment give no
+    points, nor do those longer than most characters. Without a track, the points of the one route count.
+    """
+    node = lambda x: f'*[local-name()="{x}"]'
+    number = lambda path: F.xpath_int(column, F.lit(f"count({path})"))
+    up = f'//{node("trk")}[starts-with({node("name")}, "Up")]'
+    d = docs.where(F.length(column) <= most).withColumns({"_up": number(up), "_trk": number(f'//{node("trk")}'), "_seg": number(f'//{node("trkseg")}'), "_rte": number(f'//{node("rte")}')})
+    kinds = [(F.col("_up") == 1, f'{up}//{node("trkpt")}'), ((F.col("_trk") == 1) & (F.col("_seg") == 1), f'//{node("trkpt")}'), ((F.col("_trk") == 0) & (F.col("_rte") == 1), f'//{node("rtept")}')]
+    pick = lambda tail: F.coalesce(*[F.when(c, F.xpath(column, F.lit(path + tail))) for c, path in kinds])
+    # heights are aligned only if every point has one
+    d = d.withColumns({"_lat": pick("/@lat"), "_lon": pick("/@lon"), "_ele": pick(f'/{node("ele")}/text()')})
+    z = F.when(F.size("_ele") == F.size("_lat"), F.get("_ele", F.col("seq")))
+    each = d.select(*[c for c in docs.columns if c != column], "_lon", "_ele", "_lat", F.posexplode("_lat").alias("seq", "lat"))
+    names = [c for c in docs.columns if c != column]
+    return each.select(*names, "seq", F.col("lat").cast("double").alias("lat"), F.get("_lon", F.col("seq")).cast("double").alias("lon"), z.cast("double").alias("z"))

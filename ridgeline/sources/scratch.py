@@ -35,6 +35,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+class Growing:
+    """A written table that rows are added to; reading it is one scan, however often it grew."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self._first = materialize(df, name)
+
+    def add(self, df: DataFrame) -> Growing:
+        df.write.mode("append").parquet(self._first._scratch)
+        return self
+
+    def read(self) -> DataFrame:
+        return self._first.sparkSession.read.schema(self._first.schema).parquet(self._first._scratch)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a materialized table that nothing will read again."""
     _delete(df.sparkSession, df._scratch)
