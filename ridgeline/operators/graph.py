@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.functions import geo
 from ridgeline.sources.scratch import Growing, discard, materialize
 
 LEVELS = (16, 8, 4, 2)
@@ -49,7 +50,7 @@ def follow(starts: DataFrame, steps: DataFrame, most: int) -> DataFrame:
     jump = materialize(steps.select("node", "next").where("next IS NOT NULL"), "jumps")
     out = materialize(starts.select(F.col("node").alias("start"), F.lit(0).alias("seq"), "node"), "traces")
     ahead = 1
-    while ahead <= most:
+    while ahead <= most and not jump.isEmpty():
         far = out.join(jump, "node").select("start", (F.col("seq") + ahead).alias("seq"), F.col("next").alias("node")).where(F.col("seq") <= most)
         out = materialize(out.unionByName(far), "traces")
         twice = jump.select(F.col("node").alias("next"), F.col("next").alias("_next"))
@@ -102,6 +103,29 @@ def mesh(cells: DataFrame, fine: Column, levels: tuple[int, ...] = LEVELS) -> Da
     return reduce(DataFrame.unionByName, done)
 
 
+def mesh_graph(cells: DataFrame, fine: Column, pinned: DataFrame | None = None) -> DataFrame:
+    """Edges between touching leaves of cells (r, c, cost, …) that can be crossed, both ways, with weight w.
+
+    Ways lead from a leaf's anchor, the cell at its middle, to the portal where the leaves meet, over it and on to
+    the other anchor. pinned cells (r, c), such as endpoints, are leaves of their own.
+    """
+    if pinned is not None:
+        pins = pinned.select("r", "c").distinct().withColumn("_pin", F.lit(True))
+        cells = cells.join(pins, ["r", "c"], "left").withColumn("_pin", F.coalesce("_pin", F.lit(False)))
+        fine = fine | F.col("_pin")
+    leaves = mesh(cells, F.coalesce(fine, F.lit(True))).join(cells.select("r", "c", "cost"), ["r", "c"]).where("cost IS NOT NULL")
+    own = ["leaf_r", "leaf_c", "size", "cost"]
+    e = neighbours(materialize(leaves, "leaves"), own).where("leaf_r <> to_leaf_r OR leaf_c <> to_leaf_c").select(*own, *[f"to_{x}" for x in own]).distinct()
+    out_r, in_r = geo.portal(F.col("leaf_r"), F.col("size"), F.col("to_leaf_r"), F.col("to_size"))
+    out_c, in_c = geo.portal(F.col("leaf_c"), F.col("size"), F.col("to_leaf_c"), F.col("to_size"))
+    middle = lambda low, size: F.col(low) + F.floor((F.col(size) - 1) / 2)
+    e = e.withColumns({"_xr": out_r, "_er": in_r, "_xc": out_c, "_ec": in_c})
+    leave = geo.octile(F.col("_xr") - middle("leaf_r", "size"), F.col("_xc") - middle("leaf_c", "size")) * F.col("cost")
+    cross = geo.octile(F.col("_er") - F.col("_xr"), F.col("_ec") - F.col("_xc")) * (F.col("cost") + F.col("to_cost")) / 2
+    enter = geo.octile(middle("to_leaf_r", "to_size") - F.col("_er"), middle("to_leaf_c", "to_size") - F.col("_ec")) * F.col("to_cost")
+    return e.withColumn("w", leave + cross + enter).drop("_xr", "_er", "_xc", "_ec")
+
+
 def neighbours(cells: DataFrame, columns: list[str]) -> DataFrame:
     """Every cell with those of its 8 neighbours that exist: columns of both, the neighbour's after ``to_``."""
     turn = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]))

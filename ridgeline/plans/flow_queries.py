@@ -33,17 +33,6 @@ def fall_line_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("r", "c", *[F.round(c, 3).alias(c) for c in ("total_len", "total_drop", "band_len", "band_drop")])
 
 
-@query(f"""WITH RECURSIVE {cells_sql()}, {DERIVED}, b AS MATERIALIZED (SELECT r, c, r*100000 + c AS id FROM d WHERE slope > 20 AND slope < 27),
-e AS MATERIALIZED (SELECT x.id AS u, y.id AS v FROM b x CROSS JOIN (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) o(dr, dc) JOIN b y ON y.r = x.r + dr AND y.c = x.c + dc),
-k(id, l) USING KEY (id) AS (SELECT id, id FROM b UNION SELECT e.v, min(k.l) FROM k JOIN e ON e.u = k.id JOIN recurring.k AS old ON old.id = e.v WHERE k.l < old.l GROUP BY e.v)
-SELECT l AS component, count(*) AS cells, count(*)*100 AS area_m2 FROM k GROUP BY l""")
-def components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected cells of the band over the whole raster."""
-    d = terrain.derivatives(cells(spark, sf_dir)).where("slope > 20 AND slope < 27").select("r", "c", (F.col("r") * 100000 + F.col("c")).alias("id"))
-    labels = flow.labelled(d, "id")
-    return labels.groupBy("component").agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * 100).alias("area_m2"))
-
-
 @query(f"""WITH RECURSIVE {cells_sql()}, {DERIVED}, {SMOOTH}, {DOWNHILL}, {_STEPS}, {_SUMS},
 top AS MATERIALIZED (SELECT r, c, bl, row_number() OVER (PARTITION BY r//16, c//16 ORDER BY bl DESC, r, c) AS i FROM f WHERE bl >= 40), s AS MATERIALIZED (SELECT r, c, bl FROM top WHERE i = 1),
 tr(r0, c0, seq, r, c) AS (SELECT r, c, 0, r, c FROM s UNION ALL SELECT r0, c0, seq + 1, st.nr, st.nc FROM tr JOIN st ON st.r = tr.r AND st.c = tr.c WHERE seq < 600),

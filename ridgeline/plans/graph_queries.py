@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geo
-from ridgeline.operators import graph, terrain
-from ridgeline.operators.components import connected_components
+from ridgeline.operators import costs, flow, graph, terrain
 from ridgeline.plans.registry import DERIVED, EDGE, PARKING, PATH, SIDE, cells_sql, registry
 from ridgeline.plans.terrain_queries import DOWNHILL
 from ridgeline.sources.fixtures import cells, edges, parkings
@@ -67,15 +66,13 @@ def fall_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.shiftright("node", 32).cast("int").alias("r"), F.col("node").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("c"), F.round("total_len", 3).alias("total_len"), F.round("total_drop", 3).alias("total_drop"))
 
 
-@query(f"""WITH RECURSIVE {ROUGH}, {DERIVED}, b AS MATERIALIZED (SELECT r, c, r*100000 + c AS id FROM d WHERE slope > 20 AND slope < 30 AND r < 40 AND c < 40),
-e AS MATERIALIZED (SELECT x.id AS u, y.id AS v FROM b x JOIN b y ON abs(x.r-y.r) <= 1 AND abs(x.c-y.c) <= 1 AND x.id <> y.id),
-k(id, seen) AS (SELECT id, id FROM b UNION SELECT k.id, e.v FROM k JOIN e ON e.u = k.seen)
-SELECT comp AS component, count(*) AS cells, count(*)*100 AS area_m2 FROM (SELECT id, min(seen) AS comp FROM k GROUP BY id) GROUP BY comp""")
+@query(f"""WITH RECURSIVE {ROUGH}, {DERIVED}, b AS MATERIALIZED (SELECT r, c, r*100000 + c AS id FROM d WHERE slope > 20 AND slope < 30),
+e AS MATERIALIZED (SELECT x.id AS u, y.id AS v FROM b x CROSS JOIN (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) o(dr, dc) JOIN b y ON y.r = x.r + dr AND y.c = x.c + dc),
+k(id, l) USING KEY (id) AS (SELECT id, id FROM b UNION SELECT e.v, min(k.l) FROM k JOIN e ON e.u = k.id JOIN recurring.k AS old ON old.id = e.v WHERE k.l < old.l GROUP BY e.v)
+SELECT l AS component, count(*) AS cells, count(*)*100 AS area_m2 FROM k GROUP BY l""")
 def components8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = terrain.derivatives(cells(spark, sf_dir)).where("slope > 20 AND slope < 30 AND r < 40 AND c < 40").select("r", "c", (F.col("r") * 100000 + F.col("c")).alias("id"))
-    near = graph.neighbours(d, ["id"])
-    found = connected_components(near, "id", "to_id")
-    labels = d.join(found, d["id"] == found["node"], "left").select(F.coalesce("component", "id").alias("component"))
+    d = terrain.derivatives(cells(spark, sf_dir)).where("slope > 20 AND slope < 30").select("r", "c", (F.col("r") * 100000 + F.col("c")).alias("id"))
+    labels = flow.labelled(d, "id")
     return labels.groupBy("component").agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * 100).alias("area_m2"))
 
 
@@ -109,17 +106,36 @@ def mesh_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("leaf_r", "leaf_c", "size", "to_leaf_r", "to_leaf_c", "to_size").distinct().groupBy("size", "to_size").agg(F.count(F.lit(1)).alias("edges"))
 
 
-@query(f"""WITH RECURSIVE {GENTLE}, {DERIVED}, k AS MATERIALIZED (SELECT r, c, r*100000+c AS id, CASE WHEN slope < 20 THEN 1e0 WHEN slope < 25 THEN 1.3e0 WHEN slope < 30 THEN 1.8e0 WHEN slope < 35 THEN 4e0 END AS cost FROM d WHERE r < 24 AND c < 24),
-e AS MATERIALIZED (SELECT a.id AS u, b.id AS v, (CASE WHEN a.r<>b.r AND a.c<>b.c THEN 10e0*sqrt(2e0) ELSE 10e0 END)*(a.cost+b.cost)/2 AS w FROM k a JOIN k b ON b.r BETWEEN a.r-1 AND a.r+1 AND b.c BETWEEN a.c-1 AND a.c+1 AND a.id<>b.id WHERE a.cost IS NOT NULL AND b.cost IS NOT NULL),
-sp(node, cost) USING KEY (node) AS (SELECT id, 0e0 FROM k WHERE id = 0 UNION SELECT e.v, min(sp.cost + e.w) FROM sp JOIN e ON e.u = sp.node LEFT JOIN recurring.sp AS old ON old.node = e.v WHERE old.node IS NULL OR sp.cost + e.w < old.cost GROUP BY e.v)
-SELECT node, round(cost, 4) AS cost FROM sp""")
+@query(f"""WITH {MESH}, p AS (SELECT DISTINCT a.leaf_r AS ar, a.leaf_c AS ac, a.size AS az, a.cost AS acost, b.leaf_r AS br, b.leaf_c AS bc, b.size AS bz, b.cost AS bcost FROM leaf a CROSS JOIN (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) o(dr, dc) JOIN leaf b ON b.r = a.r + dr AND b.c = a.c + dc WHERE (a.leaf_r, a.leaf_c) <> (b.leaf_r, b.leaf_c) AND a.cost IS NOT NULL AND b.cost IS NOT NULL),
+x AS (SELECT *, {', '.join(f"CASE WHEN a{k}+az-1 < b{k} THEN a{k}+az-1 WHEN b{k}+bz-1 < a{k} THEN a{k} ELSE (greatest(a{k}, b{k}) + least(a{k}+az-1, b{k}+bz-1)) // 2 END AS x{k}, CASE WHEN a{k}+az-1 < b{k} THEN b{k} WHEN b{k}+bz-1 < a{k} THEN b{k}+bz-1 ELSE (greatest(a{k}, b{k}) + least(a{k}+az-1, b{k}+bz-1)) // 2 END AS e{k}" for k in 'rc')} FROM p),
+w AS (SELECT *, {', '.join(f"10e0*(greatest(abs({a}r-{b}r), abs({a}c-{b}c)) + (sqrt(2e0)-1)*least(abs({a}r-{b}r), abs({a}c-{b}c))) AS {n}" for a, b, n in (('x', 'm', 'd1'), ('e', 'x', 'd2'), ('q', 'e', 'd3')))} FROM (SELECT *, ar + (az-1)//2 AS mr, ac + (az-1)//2 AS mc, br + (bz-1)//2 AS qr, bc + (bz-1)//2 AS qc FROM x))
+SELECT az::INT AS size, bz::INT AS to_size, count(*) AS edges, round(sum(d1*acost + d2*(acost+bcost)/2 + d3*bcost), 2) AS weight FROM w GROUP BY ALL""")
+def mesh_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights between touching leaves: from the anchor to the portal, across, and on to the other anchor."""
+    e = graph.mesh_graph(_costed(spark, sf_dir), F.col("slope") >= 15)
+    return e.groupBy("size", "to_size").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("w"), 2).alias("weight"))
+
+
+_COSTS = f"""{GENTLE}, {DERIVED}, k AS MATERIALIZED (SELECT r, c, r*100000+c AS id, CASE WHEN slope < 20 THEN 1e0 WHEN slope < 25 THEN 1.3e0 WHEN slope < 30 THEN 1.8e0 WHEN slope < 35 THEN 4e0 END AS cost FROM d),
+e AS MATERIALIZED (SELECT a.id AS u, b.id AS v, (CASE WHEN a.r<>b.r AND a.c<>b.c THEN 10e0*sqrt(2e0) ELSE 10e0 END)*(a.cost+b.cost)/2 AS w FROM k a CROSS JOIN (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) o(dr, dc) JOIN k b ON b.r = a.r + dr AND b.c = a.c + dc WHERE a.cost IS NOT NULL AND b.cost IS NOT NULL),
+sp(node, cost) USING KEY (node) AS (SELECT id, 0e0 FROM k WHERE id = 0 AND cost IS NOT NULL UNION SELECT e.v, min(sp.cost + e.w) FROM sp JOIN e ON e.u = sp.node LEFT JOIN recurring.sp AS old ON old.node = e.v WHERE old.node IS NULL OR sp.cost + e.w < old.cost - 1e-9 GROUP BY e.v)"""
+
+
+@query(f"WITH RECURSIVE {_COSTS} SELECT node, round(cost, 4) AS cost FROM sp")
 def shortest_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = _costed(spark, sf_dir).where("r < 24 AND c < 24 AND cost IS NOT NULL").withColumn("id", F.col("r") * 100000 + F.col("c"))
-    length = F.when((F.col("r") != F.col("to_r")) & (F.col("c") != F.col("to_c")), 10.0 * 2**0.5).otherwise(10.0)
-    e = graph.neighbours(k, ["id", "cost"]).select(F.col("id").alias("src"), F.col("to_id").alias("dst"), (length * (F.col("cost") + F.col("to_cost")) / 2).alias("w"))
-    e = graph.materialize(e, "mesh-edges")
-    start = k.where("id = 0").select(F.lit(0).alias("source"), F.col("id").alias("node"))
-    return graph.least_costs(start, e).select("node", F.round("cost", 4).alias("cost"))
+    """The least cost from the first cell to every cell of the raster."""
+    start = spark.createDataFrame([(0, 0, 0)], "source long, r int, c int")
+    found = costs.raster_costs(_costed(spark, sf_dir).select("r", "c", "cost"), start)
+    return found.select((F.col("r") * 100000 + F.col("c")).cast("long").alias("node"), F.round("best", 4).alias("cost"))
+
+
+@query(None)
+def cheapest_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways from three starts to every 40th cell, as cells in order; costs of a search from several sources at once. Tested by brute force."""
+    k = _costed(spark, sf_dir).select("r", "c", "cost")
+    start = spark.createDataFrame([(1, 0, 0), (2, 20, 25), (3, 30, 5)], "source long, r int, c int")
+    found = graph.materialize(costs.raster_costs(k, start), "ways-costs")
+    return costs.ways(found, found.where("r % 40 = 10 AND c % 40 = 10").select("source", "r", "c"))
 
 
 @query(f"""WITH {EDGE}, e AS (SELECT src, dst, kind, min(hours) AS hours FROM edge GROUP BY ALL), up AS (SELECT * FROM e WHERE kind = 'skin' AND hours <= 0.2), run AS (SELECT 's'||p_partkey AS summit, 'r'||(p_partkey%500) AS run, p_size*10e0 AS band FROM part), back AS (SELECT * FROM e WHERE kind = 'walk' AND hours <= 0.1)
@@ -133,11 +149,11 @@ def tour_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("parking", "summit", "run", F.round(F.col("up") + F.col("band") / 8000 + F.col("back"), 4).alias("hours"), (F.col("parking") == F.col("end")).alias("closes"))
 
 
-@query(f"""WITH {PATH}, g AS (SELECT path, min(seq)::INT AS seq, string_agg('<trkpt lat="'||(62+seq/1000e0)::DECIMAL(8,3)||'" lon="'||(9+path/1000e0)::DECIMAL(8,3)||'"/>', '' ORDER BY seq) AS xml FROM path WHERE seq <= 20 GROUP BY path)
-SELECT path, length(xml) AS xml_length, (SELECT count(*) FROM path q WHERE q.path = g.path AND q.seq <= 20) AS points, round(62.001e0, 3) AS first_lat FROM g""")
+@query(f"""WITH {PATH}, g AS (SELECT path, min(seq)::INT AS seq, string_agg('<trkpt lat="'||(62+seq/1000e0)::DECIMAL(8,3)||'" lon="'||(9+path/1000e0)::DECIMAL(8,3)||'"/>', '' ORDER BY seq) AS xml FROM path GROUP BY path)
+SELECT path, length(xml) AS xml_length, (SELECT count(*) FROM path q WHERE q.path = g.path) AS points, round(62.001e0, 3) AS first_lat FROM g""")
 def gpx_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points written as GPX and read back by XPath, whatever the namespace."""
-    p = points(spark, sf_dir).where("seq <= 20").select("path", "seq", F.concat(F.lit('<trkpt lat="'), F.format_string("%.3f", 62 + F.col("seq") / 1000), F.lit('" lon="'), F.format_string("%.3f", 9 + F.col("path") / 1000), F.lit('"/>')).alias("x"))
+    p = points(spark, sf_dir).select("path", "seq", F.concat(F.lit('<trkpt lat="'), F.format_string("%.3f", 62 + F.col("seq") / 1000), F.lit('" lon="'), F.format_string("%.3f", 9 + F.col("path") / 1000), F.lit('"/>')).alias("x"))
     doc = p.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x"))), lambda s: s.x), "").alias("xml"))
     lat = F.xpath(F.concat(F.lit('<gpx xmlns="http://www.topografix.com/GPX/1/1"><trk><trkseg>'), "xml", F.lit("</trkseg></trk></gpx>")), F.lit('//*[local-name()="trkpt"]/@lat'))
     return doc.select("path", F.length("xml").cast("long").alias("xml_length"), F.size(lat).cast("long").alias("points"), F.round(F.get(lat, F.lit(0)).cast("double"), 3).alias("first_lat"))
@@ -152,11 +168,11 @@ def forecast_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tour"), state.alias("state"))
 
 
-@query("""SELECT event_id, (['N','NE','E','SE','S','SW','W','NW'])[(floor(value/45+0.5)::BIGINT % 8) + 1] AS sector, printf('%02d:%02d', (floor(value/10*60+0.5)::BIGINT // 60), floor(value/10*60+0.5)::BIGINT % 60) AS clock, regexp_replace(regexp_replace(lower(event_type || ' #' || user_id || '!'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, (user_id * 4000 // 4000 * 4000) AS tile FROM events""")
+@query("""SELECT event_id, (['N','NE','E','SE','S','SW','W','NW'])[(floor(value/45+0.5)::BIGINT % 8) + 1] AS sector, printf('%02d:%02d', (floor(value/10*60+0.5)::BIGINT // 60), floor(value/10*60+0.5)::BIGINT % 60) AS clock, regexp_replace(regexp_replace(lower(event_type || ' #' || user_id || '!'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, (floor((value*977 - 30000)/4000)*4000)::BIGINT AS tile FROM events""")
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     name = F.concat("event_type", F.lit(" #"), "user_id", F.lit("!"))
-    return e.select("event_id", geo.compass(F.col("value")).alias("sector"), geo.clock(F.col("value") / 10).alias("clock"), geo.slug(name).alias("slug"), (F.floor(F.col("user_id") * 4000 / 4000) * 4000).alias("tile"))
+    return e.select("event_id", geo.compass(F.col("value")).alias("sector"), geo.clock(F.col("value") / 10).alias("clock"), geo.slug(name).alias("slug"), (F.floor((F.col("value") * 977 - 30000) / 4000) * 4000).alias("tile"))
 
 
 def _utm_sql() -> str:

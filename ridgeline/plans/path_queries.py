@@ -22,7 +22,7 @@ def path_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("path", "points", *[F.round(c, 4).alias(c) for c in out.columns[2:]])
 
 
-@query(f"""WITH {PATH}, s AS (SELECT *, lead(z) OVER (PARTITION BY path ORDER BY seq) AS nz FROM path WHERE seq <= 40),
+@query(f"""WITH {PATH}, s AS (SELECT *, lead(z) OVER (PARTITION BY path ORDER BY seq) AS nz FROM path),
 d AS (SELECT path, seq, k, z + (nz - z) * k / 4e0 AS h FROM s, (SELECT unnest(range(0, 4)) AS k) WHERE nz IS NOT NULL UNION ALL SELECT path, seq, 0, z FROM s WHERE nz IS NULL),
 g AS (SELECT *, h - lag(h) OVER (PARTITION BY path ORDER BY seq, k) AS dh FROM d)
 SELECT path, count(*) AS samples, round((count(*)-1)*10/1000e0, 4) AS distance_km, round(coalesce(sum(greatest(dh, 0e0)) FILTER (dh IS NOT NULL), 0), 4) AS ascent_m, round((count(*)-1)*10/1000e0/4 + coalesce(sum(greatest(dh, 0e0)) FILTER (dh IS NOT NULL), 0)/400, 6) AS hours,
@@ -31,7 +31,7 @@ def route_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vertices 40 m apart, filled up to every 10 m; the flat distance counts, and gain only if all is known."""
     from pyspark.sql import Window
 
-    s = points(spark, sf_dir).where("seq <= 40").withColumn("nz", F.lead("z").over(paths.in_order()))
+    s = points(spark, sf_dir).withColumn("nz", F.lead("z").over(paths.in_order()))
     k = F.explode(F.when(F.col("nz").isNotNull(), F.sequence(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(0))))
     d = s.withColumn("k", k).withColumn("h", F.when(F.col("nz").isNotNull(), F.col("z") + (F.col("nz") - F.col("z")) * F.col("k") / 4.0).otherwise(F.col("z")))
     d = d.withColumn("dh", F.col("h") - F.lag("h").over(Window.partitionBy("path").orderBy("seq", "k")))
