@@ -19,11 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([A-Za-z][A-Za-z0-9-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Tags that end a block; elements whose text is never shown; elements that hold page furniture, or the article.
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
+BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 HIDDEN = frozenset("head iframe math noscript object script select style svg template textarea title".split())
+FOREIGN = frozenset("math svg".split())
 CONTAINER = frozenset("article aside body details dialog div dl fieldset figure footer form header main menu nav ol p section span table ul".split())
 FURNITURE = frozenset("aside button dialog fieldset footer form header menu nav".split())
 ARTICLE = frozenset("article main".split())
@@ -36,23 +37,24 @@ PARTS = re.compile(r"[a-z]+")
 #: Elements that an unclosed one of the same kind ends.
 SELF_ENDING = frozenset("p li dd dt option tr td th".split())
 
-#: words, link density, words before, link density before, words after, link density after, furniture, article, main text.
-LABELLED = [
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (3, 1.0, 1, 1.0, 9, 0.0, 1, 0, 0), (9, 0.0, 1, 1.0, 10, 0.0, 1, 0, 0),
-    (25, 0.0, 3, 1.0, 12, 0.0, 1, 0, 0), (60, 0.0, 40, 0.0, 0, 0.0, 1, 0, 0), (14, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0), (4, 0.0, 120, 0.0, 0, 0.0, 1, 0, 0),
-    (30, 0.1, 80, 0.0, 20, 0.2, 1, 1, 0), (12, 0.0, 60, 0.0, 14, 0.0, 1, 1, 0), (45, 0.0, 90, 0.0, 33, 0.0, 1, 1, 0), (2, 1.0, 50, 0.0, 2, 1.0, 1, 1, 0),
-    (8, 0.0, 20, 0.0, 70, 0.0, 0, 1, 1), (1, 0.0, 9, 0.0, 40, 0.0, 0, 1, 1), (40, 0.0, 10, 0.0, 55, 0.0, 0, 1, 1), (90, 0.05, 40, 0.0, 80, 0.0, 0, 1, 1),
-    (6, 0.0, 80, 0.0, 3, 0.0, 0, 1, 1), (3, 0.0, 6, 0.0, 14, 0.0, 0, 1, 1), (120, 0.2, 60, 0.1, 14, 0.0, 0, 1, 1), (11, 0.3, 70, 0.0, 50, 0.0, 0, 1, 1),
-    (2, 0.0, 2, 0.0, 2, 0.0, 0, 1, 1), (400, 0.0, 12, 0.0, 8, 0.0, 0, 1, 1), (5, 1.0, 60, 0.0, 70, 0.0, 0, 1, 1), (1, 1.0, 30, 0.0, 25, 0.0, 0, 1, 1),
-    (60, 0.0, 50, 0.0, 70, 0.0, 0, 0, 1), (35, 0.05, 9, 0.0, 60, 0.0, 0, 0, 1), (110, 0.1, 40, 0.0, 30, 0.0, 0, 0, 1), (22, 0.0, 60, 0.0, 45, 0.0, 0, 0, 1),
-    (9, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1), (7, 0.0, 50, 0.0, 80, 0.0, 0, 0, 1), (12, 0.0, 40, 0.0, 35, 0.0, 0, 0, 1), (18, 0.1, 55, 0.0, 10, 0.0, 0, 0, 1),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0), (4, 1.0, 60, 0.0, 3, 1.0, 0, 0, 0), (3, 1.0, 3, 1.0, 50, 0.0, 0, 0, 0), (6, 0.8, 4, 1.0, 5, 0.9, 0, 0, 0),
-    (20, 0.7, 15, 0.8, 12, 0.9, 0, 0, 0), (5, 0.0, 3, 1.0, 4, 1.0, 0, 0, 0), (4, 0.0, 2, 0.0, 3, 0.0, 0, 0, 0), (3, 0.0, 5, 0.5, 2, 1.0, 0, 0, 0),
-    (1, 0.0, 45, 0.0, 60, 0.0, 0, 0, 1), (3, 0.0, 60, 0.0, 70, 0.0, 0, 0, 1), (6, 0.0, 20, 0.0, 25, 0.0, 0, 0, 1), (2, 0.0, 12, 0.0, 14, 0.0, 0, 0, 1),
-    (4, 0.0, 0, 0.0, 60, 0.0, 0, 0, 1), (3, 0.0, 3, 1.0, 40, 0.0, 0, 0, 1), (2, 0.0, 2, 1.0, 14, 0.0, 0, 0, 1), (4, 0.0, 3, 0.0, 60, 0.0, 0, 0, 1),
-    (5, 0.0, 60, 0.0, 4, 0.0, 0, 0, 1), (3, 0.0, 40, 0.0, 2, 0.0, 0, 0, 1), (2, 0.0, 25, 0.0, 0, 0.0, 0, 0, 1), (4, 0.0, 50, 0.0, 2, 1.0, 0, 0, 1),
-    (40, 0.0, 1, 0.0, 5, 0.0, 0, 0, 1), (25, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (60, 0.0, 3, 1.0, 3, 1.0, 0, 0, 1), (12, 0.0, 3, 0.0, 2, 0.0, 0, 0, 1), (9, 0.0, 2, 1.0, 2, 1.0, 0, 0, 1),
-    (6, 0.0, 8, 0.0, 0, 0.0, 0, 0, 0), (14, 0.6, 50, 0.0, 2, 1.0, 0, 0, 0), (2, 0.0, 4, 0.0, 6, 0.0, 0, 0, 0), (45, 0.6, 10, 0.9, 12, 0.8, 0, 0, 0),
+#: Labelled pages: [n] stands for n words, [an] for n linked words, and ! before them says that they are main text.
+PAGES = [
+    "<nav><ul><li>[a1]<li>[a1]<li>[a1]<li>[a2]</ul></nav><div class=ad>[12]</div><article><h1>![8]</h1><p>![60]<p>![35]<h2>![3]</h2><p>![90]<p>![1]<p>![2]<p>![14]</article><footer>[9]</footer>",
+    "<header>[3]<a href=x>[a2]</a></header><div class=cookie>[25]</div><main><h1>![6]</h1><p>![120]<ul><li>![a5]<li>![4]<li>![a1]</ul><p>![40]<aside><p>[30]</aside><p>![11]</main><div class=comments><p>[45]<p>[60]<p>[12]</div><footer>[14]</footer>",
+    "<div><a href=x>[a1]</a></div><div><a href=x>[a2]</a></div><div><a href=x>[a1]</a></div><h1>![9]</h1><p>![80]<p>![55]<p>![6]<p>![110]<div><a href=x>[a3]</a></div><div><a href=x>[a2]</a></div><div>[4]</div>",
+    "<p>[a2]<p>[a3]<p>![60]<h2>![2]</h2><p>![45]<h2>![3]</h2><p>![70]<p>![22]<p>[a4]<p>[a6] [2]<p>[a3]",
+    "<div class=layout><div class=sidebar><p>[a3]<p>[40]<p>[60]</div><div class=content><h2>![5]</h2><p>![30]<p>![9]<p>![150]<p>![3]</div></div><div class=related><p>[a8]<p>[a12] [14]</div>",
+    "<table><tr><td>[a1]<td>[a1]<td>[a1]</tr></table><h1>![4]</h1><p>![25]<p>![40]<table><tr><td>[a2]<td>[a1]</tr></table><p>[3]",
+    "<p>[5]<p>[a1]<p>[a2]<p>[a1]<h1>![7]</h1><p>![90] [a4]<p>![65]<ul><li>![12]<li>![18]<li>![12]</ul><p>[20] [a44]<p>[a14] [9]<p>[2]<p>[a2]",
+    "<article><p>![2]<p>![2]<p>![1]</article><div class=share>[4]</div><div class=newsletter><p>[22]</div>",
+    "<article class=post><h1>![12]</h1><div class=notice>[12]</div><p>![400]<div class=ad><p>[30]</div><p>![8]<button>[1]</button><p>![a6]</article><nav><a href=x>[a2]</a></nav>",
+    "<p>[a3]<p>[a2]<p>[4]<p>[3]<p>[a5]<p>[a2] [1]<p>[a1]",
+    "<ul><li>[a2]<li>[a3]<li>[a2]</ul><p>![6]<p>![55]<p>![4]<p>![48]<p>![6]<ul><li>[a1]<li>[a1]</ul>",
+    "<ul><li>[a1]<li>[a2]</ul><h1>![2]</h1><p>![40]<p>![2]<ul><li>[a1]<li>[a2]</ul>", "<p>[a1]<h1>![4]</h1><p>![90]<p>![3]<p>[a1]",
+    "<h1>![4]</h1><p>![40]<p>![2]<p>![18]<p>![25]<form><p>[30]<p>[3]</form><div class=promo><p>[80]</div>",
+    "<div class=teaser><a href=x>[a12] [8]</a></div><div><a href=x>[a9] [3]</a></div><div><a href=x>[a30] [12]</a></div><p>![70]<p>![52]<div><a href=x>[a10] [6]</a></div><div><a href=x>[a15]</a></div>",
+    "<p>![40]<p>![60]<p>![5]", "<p>![25]", "<h1>![3]</h1><p>![60]<p>[a3]", "<p>[a2]<p>![12]<p>![30]<p>[a2]", "<article><p>![a5]<p>![60]<p>![a1]<p>![25]</article>",
+    "<menu>[a1]</menu><dialog>[18]</dialog><p>![33]<p>![10]<p>![28]<p>[a2]", "<div class=comments><p>[60]<p>[150]</div>", "<nav><a href=x>[a4]</a></nav><aside>[70]</aside>",
 ]
 
 
@@ -82,14 +84,29 @@ def is_main(tree: tuple, x: tuple) -> bool:
     return tree[0] >= 0.5
 
 
+def _written(page: str) -> str:
+    """A labelled page with its words: main ones are called main."""
+
+    def words(m: re.Match) -> str:
+        text = " ".join(["main" if m[1] else "other"] * int(m[3]))
+        return f"<a href=x>{text}</a>" if m[2] else text
+
+    return re.sub(r"(!?)\[(a?)(\d+)\]", words, page)
+
+
 def labelled_table() -> np.ndarray:
-    """LABELLED, with the rows of furniture and article once more beside every kind of neighbour.
+    """One row for each block of the labelled pages: its features, and whether it is main text."""
+    rows = []
+    for page in PAGES:
+        found = list(blocks(_written(page)))
+        rows += [(*x, found[k][0].startswith("main")) for k, x in enumerate(features(found))]
+    return np.array(rows, float)
 
-    What such a block is doesn't hang on its neighbours; without those rows the tree finds chance splits.
-    """
-    beside = [(0, 0.0), (2, 1.0), (6, 0.0), (30, 0.1), (150, 0.0)]
-    more = [(*r[:2], *a, *b, *r[6:]) for r in LABELLED if r[6] or r[7] for a in beside for b in beside]
-    return np.array([*LABELLED, *more], float)
+
+def features(found: list[tuple]) -> list[tuple]:
+    """Words and link density of each block, of that before and of that after, and the marks of furniture and article."""
+    none = ("", 0, 0.0)
+    return [(x[1], x[2], *a[1:3], *b[1:3], x[3], x[4]) for a, x, b in zip([none, *found], found, [*found[1:], none], strict=False)]
 
 
 def trained_tree() -> tuple:
@@ -195,7 +212,8 @@ def blocks(html: str, whole: bool = False, unmarked: frozenset[int] = frozenset(
             yield from flush()
             in_link = 0
         if tag in HIDDEN:
-            hidden = None if closing or attributes.endswith("/") else tag
+            # only foreign elements may close themselves
+            hidden = None if closing or (tag in FOREIGN and attributes.endswith("/")) else tag
             continue
         if tag not in CONTAINER and tag not in FURNITURE:
             continue
@@ -219,10 +237,7 @@ def _selected(html: str, tree: tuple, whole: bool) -> list[str]:
     found = list(blocks(html, whole))
     if any(x[3] for x in found) and (unmarked := _unmarked(html, whole)):
         found = list(blocks(html, whole, unmarked))
-    main = []
-    for k, (_, words, density, bad, good, _) in enumerate(found):
-        before, after = found[k - 1] if k else ("", 0, 0.0), found[k + 1] if k + 1 < len(found) else ("", 0, 0.0)
-        main.append(is_main(tree, (words, density, before[1], before[2], after[1], after[2], bad, good)))
+    main = [is_main(tree, x) for x in features(found)]
     if any(main) and not any(x[4] and not x[3] for x in found):
         # without an article's mark, what lies between main blocks is main too, however short; links and furniture are not
         first, last = main.index(True), len(main) - 1 - main[::-1].index(True)

@@ -21,8 +21,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.llm.html_text import TOKEN
+from ridgeline.operators.skew import split_join
+
 ROW = 192
-TOKEN = re.compile(r"<!--.*?-->|<(/?)([A-Za-z][A-Za-z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 SOURCE = re.compile(r"\bsrc\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 BREAKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol table tr br article section figure blockquote".split())
 ITEM = "array<struct<kind:string,text:string,digest:string,caption:string>>"
@@ -140,6 +142,19 @@ def media_table(payloads: DataFrame, column: str = "payload") -> DataFrame:
     return payloads.select(F.sha2(F.col(column), 256).alias("digest"), store(F.col(column)).alias("media"))
 
 
-def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
-    """items with media, by digest; media has one row per digest."""
-    return items.join(media, "digest", "left")
+def described_media(stored: DataFrame, columns: list[str]) -> DataFrame:
+    """(digest, copies, columns) of stored media (digest, media), each distinct digest described once."""
+    once = stored.groupBy("digest").agg(F.min("media").alias("media"), F.count(F.lit(1)).alias("copies"))
+    own = once.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    return describe(own).select("digest", "copies", *columns)
+
+
+def resolve(items: DataFrame, media: DataFrame, rows: str | None = None, total: int = 0) -> DataFrame:
+    """items with media, by digest; media has one row per digest.
+
+    rows names a column of media with the number of items of that digest, total their sum: with them, digests that
+    hold a large share of all items are joined where these lie.
+    """
+    if rows is None:
+        return items.join(media, "digest", "left")
+    return split_join(items, media, ["digest"], rows, total, "left")

@@ -1,8 +1,8 @@
 """Packing of tokenized documents into fixed-length sequences.
 
 Documents become token ids plus one end id; longer ones are cut at the sequence length. Pieces are dealt
-by hash into groups of bounded size, and each group is packed on its own: best fit by decreasing length,
-then a local search over the underfull bins. It takes each of them, the emptiest first, and moves its
+by hash into groups of bounded size, and each group is packed on its own, what it leaves in underfull bins once
+more with those of other groups: best fit by decreasing length, then a local search over the underfull bins. It takes each of them, the emptiest first, and moves its
 pieces into any other, or exchanges one of them for any one or two shorter pieces of any other, as long as
 that raises the sum of squared fills; emptied bins go. It ends at the fewest possible bins, or where no
 such step is left. Groups with hardly any short piece can end above the fewest; README has figures.
@@ -17,13 +17,16 @@ import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+
+from ridgeline.sources.scratch import materialize
 
 #: Pieces of a group, about; a group is one task's work and memory.
 GROUP = 16384
@@ -240,11 +243,16 @@ def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> lis
     return [b for b in bins if b]
 
 
-def pack(pieces: DataFrame, n_docs: int, capacity: int) -> DataFrame:
-    """pieces with sequence_id and offset. n_docs only sets how many groups there are."""
-    groups = max(1, -(-n_docs // GROUP))
+def pack(pieces: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
+    """pieces with sequence_id and offset.
+
+    Groups are set by the number of pieces. The bins of a group that have room meet those of other groups in
+    smaller groups again, until one group holds all of them, or half of the pieces or more are in such bins and
+    another round would not find much.
+    """
+    pieces = materialize(pieces, "pieces")
     names = pieces.columns
-    out_schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    out_schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType()), StructField("_full", BooleanType())])
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
@@ -255,9 +263,24 @@ def pack(pieces: DataFrame, n_docs: int, capacity: int) -> DataFrame:
         ends = np.cumsum(lengths[order])
         first = np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
         out = frame.iloc[order].copy()
-        out["sequence_id"] = np.repeat(np.arange(len(bins)), counts) + (int(key[0]) << 32)
+        out["sequence_id"] = np.repeat(np.arange(len(bins)), counts) + (int(key[0]) << 24) + (int(key[1]) << 56)
         out["offset"] = ends - lengths[order] - (ends - lengths[order])[first]
-        return out[[*names, "sequence_id", "offset"]]
-
-    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).alias("_group")
-    return pieces.groupBy(group).applyInPandas(run, out_schema)
+        out["_full"] = np.repeat(np.add.reduceat(lengths[order], np.concatenate([[0], np.cumsum(counts)[:-1]])) == capacity, counts)
+        return out[[*names, "sequence_id", "offset", "_full"]]
+
+    done, rest, n, level = [], pieces, pieces.count(), 0
+    while True:
+        groups = max(1, -(-n // group))
+        place = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(groups)).alias("_group")
+        packed = rest.groupBy(place, F.lit(level).alias("_level")).applyInPandas(run, out_schema)
+        if groups == 1:
+            done.append(packed.drop("_full"))
+            break
+        packed = materialize(packed, "packed")
+        left = packed.where("NOT _full").count()
+        if 2 * left > n:
+            done.append(packed.drop("_full"))
+            break
+        done.append(packed.where("_full").drop("_full"))
+        rest, n, level = packed.where("NOT _full").select(*names), left, level + 1
+    return reduce(DataFrame.unionByName, done)

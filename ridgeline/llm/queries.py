@@ -102,8 +102,7 @@ def tokenizer_path() -> str:
 @_query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    pieces = packing.cut_pieces(docs, tokenizer_path(), SEQUENCE).drop("ids")
-    return packing.pack(pieces, docs.count(), SEQUENCE)
+    return packing.pack(packing.cut_pieces(docs, tokenizer_path(), SEQUENCE).drop("ids"), SEQUENCE)
 
 
 @_query
@@ -134,15 +133,26 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded_documents(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def page_of(text: F.Column, digest: F.Column, caption: F.Column) -> F.Column:
+    """A page of a document's text around its figure: the figure stands after the first half of the lines."""
+    escaped = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lines = F.split(escaped, "\n", -1)
+    half = F.floor((F.size(lines) + 1) / 2).cast("int")
+    part = lambda x: F.concat(F.lit("<p>"), F.array_join(x, "\n"), F.lit("</p>"))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), F.coalesce(caption, F.lit("")), F.lit("</figcaption></figure>"))
+    return F.concat(part(F.slice(lines, 1, half)), figure, part(F.slice(lines, half + 1, F.size(lines))))
+
+
 @_query
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), media.payload(F.col("text")).alias("payload"))
-    stored = materialize(media.media_table(docs), "media")
-    described = media.describe(stored).select("digest", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "payload_bytes", "payload_sha256", "tail_crc32", "feature")
-    described = described.groupBy("digest").agg(*[F.first(c).alias(c) for c in described.columns[1:]])
-    figure = F.concat(F.lit('<figure><img src="sha256:'), F.sha2("payload", 256), F.lit('"><figcaption>'), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
-    items = media.interleave(docs.select("doc_id", "n_bytes", figure.alias("html")), ["doc_id", "n_bytes"])
-    return media.resolve(items, described).drop("digest", "kind", "text")
+    """Each document as a page of its text around the image that stores its payload; the row is that image's."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.col("text")
+    stored = media.media_table(docs.select(media.payload(text).alias("payload")))
+    described = materialize(media.described_media(stored, ["media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "feature"]), "described-media")
+    pages = docs.select("doc_id", F.octet_length(F.coalesce(text, F.lit(""))).cast("long").alias("n_bytes"), page_of(text, F.sha2(media.payload(text), 256), F.col("doc_id").cast("string")).alias("html"))
+    items = materialize(media.interleave(pages, ["doc_id", "n_bytes"]).where("kind = 'media'").drop("kind", "text"), "media-items")
+    return media.resolve(items, described, "copies", items.count()).drop("digest")
 
 
 @_query

