@@ -34,6 +34,8 @@ GROUP = 16384
 REMEMBERED = 400_000
 #: Stands for a choice that is gone.
 LARGE = 1 << 40
+#: A bin with more than this share of a sequence free is packed again with those of other groups.
+ROOM = 8
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 #: The words of the tokenizer's own pre-tokenization, and the texts on which its normalizer only lower-cases.
@@ -246,9 +248,9 @@ def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> lis
 def pack(pieces: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
     """pieces with sequence_id and offset.
 
-    Groups are set by the number of pieces. The bins of a group that have room meet those of other groups in
-    smaller groups again, until one group holds all of them, or half of the pieces or more are in such bins and
-    another round would not find much.
+    Groups are set by the number of pieces. The bins of a group that have more room than 1 / ROOM of a sequence, few
+    if the group came out well, are packed once more with those of other groups, until one group holds all of
+    them, or most pieces are in such bins and another round would not find much.
     """
     pieces = materialize(pieces, "pieces")
     names = pieces.columns
@@ -265,7 +267,7 @@ def pack(pieces: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
         out = frame.iloc[order].copy()
         out["sequence_id"] = np.repeat(np.arange(len(bins)), counts) + (int(key[0]) << 24) + (int(key[1]) << 56)
         out["offset"] = ends - lengths[order] - (ends - lengths[order])[first]
-        out["_full"] = np.repeat(np.add.reduceat(lengths[order], np.concatenate([[0], np.cumsum(counts)[:-1]])) == capacity, counts)
+        out["_full"] = np.repeat(np.add.reduceat(lengths[order], np.concatenate([[0], np.cumsum(counts)[:-1]])) >= capacity - capacity // ROOM, counts)
         return out[[*names, "sequence_id", "offset", "_full"]]
 
     done, rest, n, level = [], pieces, pieces.count(), 0
@@ -278,7 +280,7 @@ def pack(pieces: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
             break
         packed = materialize(packed, "packed")
         left = packed.where("NOT _full").count()
-        if 2 * left > n:
+        if 4 * left > 3 * n:
             done.append(packed.drop("_full"))
             break
         done.append(packed.where("_full").drop("_full"))
