@@ -138,15 +138,18 @@ def cheapest_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return costs.ways(found, found.where("r % 40 = 10 AND c % 40 = 10").select("source", "r", "c"))
 
 
-@query(f"""WITH {EDGE}, e AS (SELECT src, dst, kind, min(hours) AS hours FROM edge GROUP BY ALL), up AS (SELECT * FROM e WHERE kind = 'skin' AND hours <= 0.2), run AS (SELECT 's'||p_partkey AS summit, 'r'||(p_partkey%500) AS run, p_size*10e0 AS band FROM part), back AS (SELECT * FROM e WHERE kind = 'walk' AND hours <= 0.1)
-SELECT up.src AS parking, up.dst AS summit, run.run, round(up.hours + run.band/8000 + back.hours, 4) AS hours, (up.src = back.dst) AS closes FROM up JOIN run ON run.summit = up.dst JOIN back ON back.src = run.run""")
+@query(f"""WITH {EDGE}, e AS (SELECT src, dst, kind, min(hours) AS hours FROM edge GROUP BY ALL), up AS (SELECT * FROM e WHERE kind = 'skin'), run AS (SELECT 's'||p_partkey AS summit, 'r'||(p_partkey%500) AS run, p_size*10e0 AS band FROM part), back AS (SELECT * FROM e WHERE kind = 'walk'),
+k AS (SELECT up.src AS parking, up.dst AS summit, run.run, back.dst AS end_, band, up.hours + run.band/8000 + back.hours AS hours, (up.src = back.dst) AS closes FROM up JOIN run ON run.summit = up.dst JOIN back ON back.src = run.run)
+SELECT parking, i::INT AS rank, summit, run, end_ AS "end", round(hours, 4) AS hours, closes FROM (SELECT *, row_number() OVER (PARTITION BY parking ORDER BY closes DESC, hours, band DESC, summit, run, end_) AS i FROM k) WHERE i <= 5""")
 def tour_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best loops of each parking: those that end where they started first, then the shortest day, then the longest run."""
     e = edges(spark, sf_dir).groupBy("src", "dst", "kind").agg(F.min("hours").alias("hours"))
-    up = e.where("kind = 'skin' AND hours <= 0.2").select(F.col("src").alias("parking"), F.col("dst").alias("summit"), F.col("hours").alias("up"))
+    up = e.where("kind = 'skin'").select(F.col("src").alias("parking"), F.col("dst").alias("summit"), F.col("hours").alias("up"))
     run = table(spark, sf_dir, "part").select(F.concat(F.lit("s"), "p_partkey").alias("summit"), F.concat(F.lit("r"), F.col("p_partkey") % 500).alias("run"), (F.col("p_size") * 10.0).alias("band"))
-    back = e.where("kind = 'walk' AND hours <= 0.1").select(F.col("src").alias("run"), F.col("dst").alias("end"), F.col("hours").alias("back"))
-    out = up.join(run, "summit").join(back, "run")
-    return out.select("parking", "summit", "run", F.round(F.col("up") + F.col("band") / 8000 + F.col("back"), 4).alias("hours"), (F.col("parking") == F.col("end")).alias("closes"))
+    back = e.where("kind = 'walk'").select(F.col("src").alias("run"), F.col("dst").alias("end"), F.col("hours").alias("back"))
+    out = up.join(run, "summit").join(back, "run").withColumns({"hours": F.col("up") + F.col("band") / 8000 + F.col("back"), "closes": F.col("parking") == F.col("end")})
+    best = F.row_number().over(Window.partitionBy("parking").orderBy(F.desc("closes"), "hours", F.desc("band"), "summit", "run", "end"))
+    return out.withColumn("rank", best).where("rank <= 5").select("parking", "rank", "summit", "run", "end", F.round("hours", 4).alias("hours"), "closes")
 
 
 @query(f"""WITH {PATH}, g AS (SELECT path, min(seq)::INT AS seq, string_agg('<trkpt lat="'||(62+seq/1000e0)::DECIMAL(8,3)||'" lon="'||(9+path/1000e0)::DECIMAL(8,3)||'"/>', '' ORDER BY seq) AS xml FROM path GROUP BY path)

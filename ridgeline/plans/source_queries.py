@@ -2,7 +2,7 @@ r"""Queries of readers: tiles, ways, elements, documents and files as rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geo
@@ -18,17 +18,19 @@ QUERIES, ORACLE_SQL, query = registry()
 TILE = 16
 
 
-@query(f"""WITH {cells_sql(gaps=True)}, want AS (SELECT i AS ti, j AS tj FROM range(0, 3) a(i), range(0, 3) b(j)), px AS (SELECT r, c, CASE WHEN z <= 1090 THEN z END AS z, r//{TILE} AS ti, c//{TILE} AS tj FROM cell WHERE (r//{TILE} + 2*(c//{TILE})) % 5 <> 3),
+@query(f"""WITH {cells_sql(gaps=True)}, want AS (SELECT i AS ti, j AS tj FROM range(0, (SELECT n//16 + 1 FROM n)) a(i), range(0, (SELECT n//16 + 1 FROM n)) b(j)), px AS (SELECT r, c, CASE WHEN z <= 1090 THEN z END AS z, r//{TILE} AS ti, c//{TILE} AS tj FROM cell WHERE (r//{TILE} + 2*(c//{TILE})) % 5 <> 3),
 inner_ AS (SELECT * FROM px WHERE r % {TILE} BETWEEN 2 AND {TILE - 3} AND c % {TILE} BETWEEN 2 AND {TILE - 3}), t AS (SELECT ti, tj, count(*) AS cells, count(z) AS known, max(z) AS top FROM inner_ GROUP BY ALL)
 SELECT want.ti, want.tj, coalesce(cells, 0) AS cells, round(coalesce(100e0*known/cells, 0), 1) AS coverage, round(top, 2) AS top, (cells IS NULL) AS missing, sum((cells IS NULL)::INT) OVER ()::BIGINT AS tiles_missing, (bool_and(cells IS NOT NULL) OVER ()) AS mask_available FROM want LEFT JOIN t USING (ti, tj)""")
 def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A window of tiles, each without its border; heights out of range are unknown, tiles that didn't arrive are counted."""
     z = readers.plausible(F.col("z"), -500.0, 1090.0)
     px = cells(spark, sf_dir, gaps=True).select("r", "c", z.alias("z"), F.floor(F.col("r") / TILE).alias("ti"), F.floor(F.col("c") / TILE).alias("tj")).where((F.col("ti") + 2 * F.col("tj")) % 5 != 3)
-    t = readers.mosaic(spark, px, 0, 3, 0, 3, TILE, 2).groupBy("ti", "tj").agg(F.count("r").alias("cells"), F.count("z").alias("known"), F.max("z").alias("top"))
-    every = Window.partitionBy()  # nine tiles
-    missing = F.col("cells") == 0
-    return t.select(F.col("ti"), F.col("tj"), "cells", F.round(F.coalesce(F.try_divide(100.0 * F.col("known"), F.col("cells")), F.lit(0.0)), 1).alias("coverage"), F.round("top", 2).alias("top"), missing.alias("missing"), F.sum(missing.cast("int")).over(every).alias("tiles_missing"), F.bool_and(~missing).over(every).alias("mask_available"))
+    tiles = side(spark, sf_dir) // TILE + 1
+    t = readers.mosaic(spark, px, 0, tiles, 0, tiles, TILE, 2).groupBy("ti", "tj").agg(F.count("r").alias("cells"), F.count("z").alias("known"), F.max("z").alias("top"))
+    t = t.withColumn("missing", F.col("cells") == 0)
+    whole = t.agg(F.sum(F.col("missing").cast("int")).alias("tiles_missing"), F.bool_and(~F.col("missing")).alias("mask_available"))
+    share = F.round(F.coalesce(F.try_divide(100.0 * F.col("known"), F.col("cells")), F.lit(0.0)), 1)
+    return t.select("ti", "tj", "cells", share.alias("coverage"), F.round("top", 2).alias("top"), "missing").crossJoin(F.broadcast(whole))  # one row
 
 
 WAYS = """node AS (SELECT c_nationkey AS way, c_custkey AS id, 62e0 + (c_custkey * 37 % 2000)/1000e0 AS lat, 8e0 + (c_custkey * 91 % 3000)/1000e0 AS lon FROM customer)"""
@@ -169,11 +171,11 @@ def newest_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(F.broadcast(newest), "file", "left_semi").groupBy("file").agg(F.count(F.lit(1)).alias("tours"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query(f"""WITH {PATH}, far AS (SELECT path, seq, 400000e0 + path*500 + seq*90 AS x, 6900000e0 + path*300 + z*400 AS y FROM path WHERE path % 5 = 0), b AS (SELECT DISTINCT i*28000+24000 AS block_x, j*28000+12000 AS block_y FROM range(12, 20) a(i), range(243, 252) c(j))
+@query(f"""WITH {PATH}, far AS (SELECT path, seq, 400000e0 + path*500 + seq*90 AS x, 6900000e0 + path*300 + z*400 AS y FROM path), b AS (SELECT DISTINCT i*28000+24000 AS block_x, j*28000+12000 AS block_y FROM range((SELECT floor((min(x)-29000)/28000)::BIGINT FROM far), (SELECT floor((max(x)-19000)/28000)::BIGINT + 1 FROM far)) a(i), range((SELECT floor((min(y)-17000)/28000)::BIGINT FROM far), (SELECT floor((max(y)-7000)/28000)::BIGINT + 1 FROM far)) c(j))
 SELECT path, block_x, block_y, round(min(sqrt(pow(greatest(block_x - x, 0e0, x - block_x - 28000), 2) + pow(greatest(block_y - y, 0e0, y - block_y - 28000), 2)))/1000, 3) AS dist_km FROM far, b GROUP BY ALL HAVING min(sqrt(pow(greatest(block_x - x, 0e0, x - block_x - 28000), 2) + pow(greatest(block_y - y, 0e0, y - block_y - 28000), 2))) <= 5000""")
 def corridor_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks within 5 km of any vertex of a route; each vertex meets the few blocks around it alone."""
     from ridgeline.plans.access_queries import blocks_within
 
-    far = points(spark, sf_dir).where("path % 5 = 0").select("path", (400000.0 + F.col("path") * 500 + F.col("seq") * 90).alias("x"), (6900000.0 + F.col("path") * 300 + F.col("z") * 400).alias("y"))
+    far = points(spark, sf_dir).select("path", (400000.0 + F.col("path") * 500 + F.col("seq") * 90).alias("x"), (6900000.0 + F.col("path") * 300 + F.col("z") * 400).alias("y"))
     return blocks_within(far, 5000.0).groupBy("path", "block_x", "block_y").agg(F.min("dist_km").alias("dist_km"))
