@@ -17,7 +17,7 @@ import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -31,46 +31,68 @@ from ridgeline.sources.scratch import materialize
 #: Pieces of a group, about; a group is one task's work and memory.
 GROUP = 16384
 #: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Stands for a choice that is gone.
 LARGE = 1 << 40
 #: A bin with more than this share of a sequence free is packed again with those of other groups.
 ROOM = 8
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-#: The words of the tokenizer's own pre-tokenization, and the texts on which its normalizer only lower-cases.
+#: The words of the tokenizer's own pre-tokenization.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Marks that are a pre-token of their own behind a letter.
+MARKS = (",", ".", ";", ":", "!", "?")
+#: The texts on which its normalizer only lower-cases.
 PLAIN = regex.compile(r"[!-;=-~ß-öø-ÿÀ-ÖØ-Þ]*")
 
 
-class Words(dict):
-    """Little-endian 32-bit ids by word: what the tokenizer gives for a text without white space.
+class Parts(dict):
+    """Little-endian 32-bit ids by pre-token.
 
-    The tokenizer splits at white space, so a text's ids are those of its words in turn. Plain words are
-    further split into its pre-tokens, of which there are far fewer.
+    The normalizer and the byte mapping leave printable ASCII in lower case as it is, so that such a
+    pre-token goes to the tokenizer's model at once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
 
-    def ids(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def __missing__(self, part: str) -> bytes:
+        if part.isascii():
+            ids = [x.id for x in self.model.tokenize(part)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        else:
+            found = self.whole(part)
+        self[part] = found
+        return found
+
+
+class Words(dict):
+    """Little-endian 32-bit ids by word: what the tokenizer gives for a text without white space.
+
+    The tokenizer splits at white space, so a text's ids are those of its words in turn. Plain words are
+    further split into its pre-tokens, of which there are far fewer.
+    """
+
+    def __init__(self, path: str):
+        self.parts = Parts(path)
+
     def __missing__(self, word: str) -> bytes:
-        if PLAIN.fullmatch(word):
-            out = []
-            lower = word.lower()
-            for x in (lower,) if lower.isalpha() else WORD.findall(lower):
-                if x not in self.parts:
-                    self.parts[x] = self.ids(x)
-                out.append(self.parts[x])
-            found = b"".join(out)
+        letters = word[:-1] if word[-1:] in MARKS else word
+        if letters.isascii() and letters.isalpha():
+            found = self.parts[letters.lower()]
+            if letters is not word:
+                found += self.parts[word[-1]]
+        elif PLAIN.fullmatch(word):
+            found = b"".join([self.parts[x] for x in WORD.findall(word.lower())])
         else:
-            found = self.ids(word)
+            found = self.parts.whole(word)
         self[word] = found
         return found
 
@@ -79,14 +101,22 @@ class Words(dict):
             self.clear()
         if len(self.parts) > REMEMBERED:
             self.parts.clear()
+        if text.isascii() and "<" not in text:  # a special token begins with <, and counts as written only
+            text = text.lower()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+@lru_cache(maxsize=1)
+def _words(path: str) -> Words:
+    """A worker's words, which outlast its tasks."""
+    return Words(path)
+
+
 def cut_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, ids: the pieces of at most length tokens; ids only if kept."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words(tokenizer)
+        words = _words(tokenizer)
         end = np.asarray([end_id], "<u4").tobytes()
         for frame in frames:
             rows = []
