@@ -58,3 +58,18 @@ def test_groups_meet_again(spark):
         found[group] = len(bins)
     fewest = -(-sum(lengths) // 2048)
     assert found[1 << 20] == fewest and found[200] <= fewest + 1
+
+
+def test_words_give_the_ids_of_the_whole_text():
+    import struct
+
+    from ridgeline.llm.queries import tokenizer_path
+
+    words = packing.Words(tokenizer_path())
+    signs = np.array(list("abAB'sS.,;:!?<|>-0 1\n\tzéÉİ中_"))
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(signs, rng.integers(0, 15))) for _ in range(3000)]
+    texts += ["", "<|startoftext|> a", "<|STARTOFTEXT|> A.", "Don't, STOP!", "éA"]
+    for text in texts:
+        ids = words.parts.tokenizer.encode(text, add_special_tokens=False).ids
+        assert words.encode(text) == struct.pack(f"<{len(ids)}I", *ids), text
