@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import decontaminate, html_text, language_id, line_dedup, media, near_dedup, packing, pieces, quality, repeats, url_filter
+from ridgeline.llm import decontaminate, html_text, language_id, line_dedup, media, near_dedup, packing, pieces, prefix_trie, quality, repeats, url_filter, variants
 from ridgeline.sources.scratch import materialize
 from ridgeline.sources.tables import table
 
@@ -191,6 +191,51 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
+#: crc32 of a list of bytes.
+CRC32_SQL = "xor(list_reduce(list_prepend(4294967295, {0}), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 1, 2, 3, 4, 5, 6, 7]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+
+@_query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return variants.variants(variants.vocabulary(variants.typed_words(docs)))
+
+
+ORACLE_SQL["op11_spelling_variants"] = r"""
+WITH RECURSIVE r AS MATERIALIZED (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS w FROM documents) WHERE length(w) >= 7 GROUP BY ALL),
+h AS MATERIALIZED (SELECT w, n, CRC AS h FROM r),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word FROM h) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+k AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM w)),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM k a JOIN k b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT k.word, w.word, w.n FROM k JOIN w ON k.cut = w.word UNION SELECT w.word, k.word, k.n FROM k JOIN w ON k.cut = w.word),
+b AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k FROM p),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form, CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n FROM w LEFT JOIN b ON b.word = w.word AND k = 1),
+t AS (SELECT word, word AS at FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, t.at AS root, f.n, f.n_near, f.form_n FROM f JOIN t ON t.word = f.word JOIN f e ON e.word = t.at AND e.form IS NULL
+""".replace("CRC", CRC32_SQL.format("flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x)::BIGINT - 64] END))"))
+
+
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations").withColumn("conv_id", F.col("conv_id").cast("long")))
+    head = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(4))
+    return prefix_trie.prefix_trie(*prefix_trie.grafted(turns, convs, F.col("conv_id") - F.col("conv_id") % 20, head, 3))
+
+
+ORACLE_SQL["op13_prefix_trie"] = r"""
+WITH c AS MATERIALIZED (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, t, CRC % 4 AS h FROM c),
+r AS MATERIALIZED (SELECT h.conv_id, list_concat(coalesce(b.t[1:h.h], []), h.t[h.h + 1:]) AS t FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 20),
+m AS MATERIALIZED (SELECT conv_id, d, len(t) = d AS ended, md5(to_json(t[1:d])::VARCHAR) AS p, CASE WHEN d > 0 THEN md5(to_json(t[1:d - 1])::VARCHAR) END AS up,
+  CASE WHEN d > 0 THEN len(regexp_extract_all(t[d].t, '[^ 	-
+]+')) ELSE 0 END AS w FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM r)),
+n AS MATERIALIZED (SELECT d, p, any_value(up) AS up, any_value(w) AS w, min(conv_id) AS conv_id, count(*) AS n, bool_and(ended) AS leaf,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends FROM m GROUP BY d, p),
+s AS (SELECT m.d, m.p, count(*) FILTER (n.leaf) AS n_leaves, sum((n.n - 1) * n.w) AS saved, count(*) FILTER (n.d = m.d + 1) AS n_children FROM n JOIN m ON m.conv_id = n.conv_id AND m.d <= n.d GROUP BY m.d, m.p)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n AS n_convs, s.n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN s ON s.d = n.d AND s.p = n.p LEFT JOIN n u ON u.d = n.d - 1 AND u.p = n.up
+""".replace("CRC", CRC32_SQL.format("list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)"))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
