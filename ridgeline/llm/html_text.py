@@ -4,8 +4,12 @@ The page is cut into blocks at block-level tags. A block knows its words, its li
 neighbours too, and whether it lies in an element that by name or class holds page furniture, or in the
 article. The body and the elements around the article are no furniture. A decision tree, grown on the small labelled table below, tells which blocks are main text.
 
+An inline element named as an advert loses its text. A header element is furniture also within an article, as headers are to go, so a
+title that stands in one goes with it; what an unnamed element says of replies, or an article beside the main one, is text like any other.
+
 Defined results: null or empty html, or a page without main text, gives an empty text; unclosed, crossing
-or cut-off tags end at the page's end; an element is never closed by a tag that wasn't opened.
+or cut-off tags end at the page's end, and a < that begins no whole tag is text; an element is never closed by
+a tag that wasn't opened; repeated rows give equal texts. Work is linear in the page, however deep it nests.
 """
 
 from __future__ import annotations
@@ -28,6 +32,9 @@ FOREIGN = frozenset("math svg".split())
 CONTAINER = frozenset("article aside body details dialog div dl fieldset figure footer form header main menu nav ol p section span table ul".split())
 FURNITURE = frozenset("aside button dialog fieldset footer form header menu nav".split())
 ARTICLE = frozenset("article main".split())
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Words that as a whole class, id or role make furniture of an inline element, whose text then goes.
+INLINE_WORDS = frozenset("ad ads adsbygoogle advert adverts advertisement advertising promo promoted promotion sponsor sponsored".split())
 #: Words in a class, id or role that name furniture, or the article.
 FURNITURE_WORDS = frozenset("ad ads advert adverts advertisement advertising alert alertdialog banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright discussion disqus footer form gdpr header login menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split())
 ARTICLE_WORDS = frozenset("article articlebody content entry main post story".split())
@@ -54,6 +61,7 @@ PAGES = [
     "<h1>![4]</h1><p>![40]<p>![2]<p>![18]<p>![25]<form><p>[30]<p>[3]</form><div class=promo><p>[80]</div>",
     "<div class=teaser><a href=x>[a12] [8]</a></div><div><a href=x>[a9] [3]</a></div><div><a href=x>[a30] [12]</a></div><p>![70]<p>![52]<div><a href=x>[a10] [6]</a></div><div><a href=x>[a15]</a></div>",
     "<p>![40]<p>![60]<p>![5]", "<p>![25]", "<h1>![3]</h1><p>![60]<p>[a3]", "<p>[a2]<p>![12]<p>![30]<p>[a2]", "<article><p>![a5]<p>![60]<p>![a1]<p>![25]</article>",
+    "<h1>![1]</h1><p>![3]<p>![1]", "<p>![2]", "![3]", "<p>![1]", "<p>![4]<p>![2]", "<h1>![2]</h1><p>![5]<p>![1]<p>![3]",
     "<menu>[a1]</menu><dialog>[18]</dialog><p>![33]<p>![10]<p>![28]<p>[a2]", "<div class=comments><p>[60]<p>[150]</div>", "<nav><a href=x>[a4]</a></nav><aside>[70]</aside>",
 ]
 
@@ -98,7 +106,7 @@ def labelled_table() -> np.ndarray:
     """One row for each block of the labelled pages: its features, and whether it is main text."""
     rows = []
     for page in PAGES:
-        found = list(blocks(_written(page)))
+        found, _ = blocks(_written(page))
         rows += [(*x, found[k][0].startswith("main")) for k, x in enumerate(features(found))]
     return np.array(rows, float)
 
@@ -122,6 +130,10 @@ def _names(words: frozenset[str], tokens: list[str], whole: bool) -> bool:
     return any(words.intersection(p) and not STATE_WORDS.intersection(p) for p in parts)
 
 
+def _inline_furniture(attributes: str) -> bool:
+    return any(_names(INLINE_WORDS, (m[1] or m[2] or m[3] or "").lower().split(), True) for m in NAMES.finditer(attributes))
+
+
 def _marks(tag: str, attributes: str, whole: bool) -> tuple[bool, bool, bool]:
     """Whether an element holds furniture, or the article, and whether its names speak of furniture."""
     furniture, article, named = tag in FURNITURE, tag in ARTICLE, False
@@ -135,61 +147,82 @@ def _marks(tag: str, attributes: str, whole: bool) -> tuple[bool, bool, bool]:
     return furniture, article, named
 
 
-def _unmarked(html: str, whole: bool) -> frozenset[int]:
+class Elements:
+    """Containers in page order: parent's number (-1: none), and whether by its own marks it is furniture, or an article by no name of furniture."""
+
+    def __init__(self) -> None:
+        self.parent: list[int] = []
+        self.furniture: list[bool] = []
+        self.article: list[bool] = []
+
+
+def _unmarked(found: list[tuple], elements: Elements) -> frozenset[int]:
     """The elements, by number, that hold the page's article and so are no furniture whatever they are called.
 
     The article is the article element with the most words, if none with text lies outside furniture and it
     has more words than all that does.
     """
-    own: dict[int, int] = {}
-    above: dict[int, tuple[int, ...]] = {}
+    words = [0] * len(elements.parent)
     outside = 0
-    for _, words, density, bad, good, path in blocks(html, whole):
-        plain = round(words * (1 - density))
+    for _, n, density, bad, good, holder in found:
+        plain = round(n * (1 - density))
         if not bad:
             if good:
                 return frozenset()
             outside += plain
-        within: list[int] = []
-        for number, furniture, article in path:
-            if article:
-                own[number] = own.get(number, 0) + plain
-                above[number] = tuple(within)
-            if furniture:
-                within.append(number)
-    if not own:
-        return frozenset()
+        if holder >= 0:
+            words[holder] += plain
+    for k in range(len(words) - 1, -1, -1):  # what lies within an element has a greater number
+        if elements.parent[k] >= 0:
+            words[elements.parent[k]] += words[k]
     # the inner one of several with the same words
-    best = max(own, key=lambda k: (own[k], k))
-    return frozenset(above[best]) if own[best] > outside else frozenset()
-
-
-def blocks(html: str, whole: bool = False, unmarked: frozenset[int] = frozenset()) -> Iterator[tuple[str, int, float, bool, bool, list]]:
-    """Text, words, link density, in furniture, in the article, and the elements around it; in page order.
-
-    An element around is its number, and whether it is marked as furniture, or as an article by no name of furniture.
-    """
-    open_tags: list[tuple[str, bool, bool, tuple[int, bool, bool]]] = []
-    number = 0
+    best = max((k for k, x in enumerate(elements.article) if x), key=lambda k: (words[k], k), default=-1)
+    if best < 0 or words[best] <= outside:
+        return frozenset()
+    above, k = set(), elements.parent[best]
+    while k >= 0:
+        if elements.furniture[k]:
+            above.add(k)
+        k = elements.parent[k]
+    return frozenset(above)
+
+
+def blocks(html: str, whole: bool = False, unmarked: frozenset[int] = frozenset()) -> tuple[list[tuple[str, int, float, bool, bool, int]], Elements]:
+    """Text, words, link density, in furniture, in the article, and the number of the innermost element (-1: none); in page order."""
+    elements = Elements()
+    found: list[tuple[str, int, float, bool, bool, int]] = []
+    #: Tag, in furniture, in the article, number of each open element; the places in it of each tag.
+    open_tags: list[tuple[str, bool, bool, int]] = []
+    places: dict[str, list[int]] = {}
     parts: list[str] = []
     linked: list[str] = []
     in_link, hidden = 0, None
+    #: An inline element that by name holds an advert or the like, and how many of its kind are open.
+    muted, depth = "", 0
+    #: Where the block's text begins: an inline element that is open at its end says nothing of it.
+    none = begun = ("", False, False, -1)
 
-    def state() -> tuple[bool, bool]:
-        return (open_tags[-1][1], open_tags[-1][2]) if open_tags else (False, False)
+    def close(place: int) -> None:
+        while len(open_tags) > place:
+            places[open_tags.pop()[0]].pop()
 
-    def flush() -> Iterator[tuple[str, int, float, bool, bool, list]]:
+    def flush() -> None:
         text = unescape("".join(parts)).split()
         if text:
             links = len(unescape("".join(linked)).split())
-            yield " ".join(text), len(text), min(1.0, links / len(text)), *state(), [x[3] for x in open_tags]
+            _, bad, good, number = begun
+            found.append((" ".join(text), len(text), min(1.0, links / len(text)), bad, good, number))
         parts.clear()
         linked.clear()
 
     for m in TOKEN.finditer(html):
         closing, tag, attributes, text = m.groups()
         if text is not None:
-            if hidden is None:
+            if hidden is None and not muted:
+                if not parts:
+                    begun = open_tags[-1] if open_tags else none
+                    if text.isspace():
+                        continue
                 parts.append(text)
                 if in_link:
                     linked.append(text)
@@ -202,15 +235,23 @@ def blocks(html: str, whole: bool = False, unmarked: frozenset[int] = frozenset(
             if (closing and tag == hidden) or (hidden == "head" and tag == "body"):
                 hidden = None
             continue
+        if tag in BLOCK:
+            flush()
+            in_link, muted = 0, ""
+        elif muted:
+            if tag == muted:
+                depth += -1 if closing else 1
+                if not depth:
+                    muted = ""
+        elif attributes and not closing and tag not in VOID and not attributes.endswith("/") and _inline_furniture(attributes):
+            muted, depth = tag, 1
         if tag == "a":
             in_link = 0 if closing else 1
             continue
         if tag == "br":
-            parts.append(" ")
+            if parts:
+                parts.append(" ")
             continue
-        if tag in BLOCK:
-            yield from flush()
-            in_link = 0
         if tag in HIDDEN:
             # only foreign elements may close themselves
             hidden = None if closing or (tag in FOREIGN and attributes.endswith("/")) else tag
@@ -218,25 +259,28 @@ def blocks(html: str, whole: bool = False, unmarked: frozenset[int] = frozenset(
         if tag not in CONTAINER and tag not in FURNITURE:
             continue
         if closing:
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == tag:
-                    del open_tags[k:]
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
         elif not attributes.endswith("/"):
             if tag in SELF_ENDING and open_tags and open_tags[-1][0] == tag:
-                open_tags.pop()
+                close(len(open_tags) - 1)
             bad, good, named = _marks(tag, attributes, whole)
-            number += 1
+            _, was_bad, was_good, parent = open_tags[-1] if open_tags else none
+            number = len(elements.parent)
             bad &= number not in unmarked
-            was_bad, was_good = state()
-            open_tags.append((tag, was_bad or bad, (was_good and not bad) or good, (number, bad, good and not named)))
-    yield from flush()
+            elements.parent.append(parent)
+            elements.furniture.append(bad)
+            elements.article.append(good and not named)
+            places.setdefault(tag, []).append(len(open_tags))
+            open_tags.append((tag, was_bad or bad, (was_good and not bad) or good, number))
+    flush()
+    return found, elements
 
 
 def _selected(html: str, tree: tuple, whole: bool) -> list[str]:
-    found = list(blocks(html, whole))
-    if any(x[3] for x in found) and (unmarked := _unmarked(html, whole)):
-        found = list(blocks(html, whole, unmarked))
+    found, elements = blocks(html, whole)
+    if any(x[3] for x in found) and (unmarked := _unmarked(found, elements)):
+        found, _ = blocks(html, whole, unmarked)
     main = [is_main(tree, x) for x in features(found)]
     if any(main) and not any(x[4] and not x[3] for x in found):
         # without an article's mark, what lies between main blocks is main too, however short; links and furniture are not
