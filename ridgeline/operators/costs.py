@@ -1,94 +1,36 @@
-"""Least costs over rasters: search within tiles, exchange along their borders, until nothing gets cheaper."""
+"""Least costs over rasters: the search of legs over the graph of all cells."""
 
 from __future__ import annotations
 
-import heapq
-
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.sources.scratch import discard, materialize
-
-#: Cells along a tile's edge; a tile and the ring around it are what one task holds at a time.
-TILE = 128
-_TURNS = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+from ridgeline.operators.graph import neighbours
+from ridgeline.operators.legs import LOW, TILE, leaf_node, search, ways_back
 
 
-def _settle(cost: np.ndarray, best: np.ndarray, came: np.ndarray, res: float) -> None:
-    """Dijkstra from all known cells of a tile at once; best and came (number of the turn to the cell before) are changed."""
-    rows, cols = cost.shape
-    heap = [(best[r, c], r, c) for r, c in zip(*np.nonzero(np.isfinite(best)), strict=True)]
-    heapq.heapify(heap)
-    steps = [(a, b, k, res * (2**0.5 if a and b else 1.0)) for k, (a, b) in enumerate(_TURNS)]
-    while heap:
-        d, r, c = heapq.heappop(heap)
-        if d > best[r, c]:
-            continue
-        for a, b, k, length in steps:
-            i, j = r + a, c + b
-            if 0 <= i < rows and 0 <= j < cols and cost[i, j] == cost[i, j]:
-                new = d + length * (cost[r, c] + cost[i, j]) / 2
-                if new < best[i, j] - 1e-9:
-                    best[i, j], came[i, j] = new, k
-                    heapq.heappush(heap, (new, i, j))
-
-
-def raster_costs(cells: DataFrame, start: DataFrame, tile: int = TILE, res: float = 10.0, max_passes: int = 10_000) -> DataFrame:
+def raster_costs(cells: DataFrame, start: DataFrame, tile: int = TILE, res: float = 10.0) -> DataFrame:
     """(source, r, c, best, from_r, from_c): the cheapest way from each start (source, r, c) over cells (r, c, cost).
 
-    A step costs its length times the mean cost of its two cells; cells without a cost can't be crossed. Each
-    pass settles the tiles beside which something got cheaper, so passes are as many as tiles that a way crosses,
-    not cells. A start without a cost reaches nothing.
+    A step costs its length times the mean cost of its two cells; cells without a cost can't be crossed. A start
+    without a cost reaches nothing.
     """
     known = cells.where("cost IS NOT NULL").select("r", "c", "cost")
-    of = lambda x, d: F.floor((F.col(x) + d) / tile).cast("int")
-    around = F.explode(F.array_distinct(F.array(*[F.struct(of("r", a).alias("tr"), of("c", b).alias("tc")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))).alias("t")
-    state = start.join(known, ["r", "c"], "left_semi").select("source", "r", "c", F.lit(0.0).alias("best"), F.lit(-1).alias("turn"), F.lit(True).alias("fresh"))
-    state = materialize(state.dropDuplicates(["source", "r", "c"]), "tile-costs")
-    schema = "source long, r int, c int, best double, turn int, fresh boolean"
+    length = F.when((F.col("r") != F.col("to_r")) & (F.col("c") != F.col("to_c")), res * 2**0.5).otherwise(res)
+    edges = neighbours(known, ["cost"]).select(leaf_node("r", "c").alias("src"), leaf_node("to_r", "to_c").alias("dst"), (length * (F.col("cost") + F.col("to_cost")) / 2).alias("w"))
+    starts = start.join(known, ["r", "c"], "left_semi").select("source", leaf_node("r", "c").alias("node"))
+    found = search(edges, starts, tile)
+    before = F.col("prev") >= 0
+    return found.select("source", *_cell("node", "r", "c"), F.col("cost").alias("best"), *[F.when(before, x).alias(f"from_{n}") for x, n in zip(_cell("prev", "r", "c"), "rc", strict=True)])
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        source, tr, tc = key
-        r, c = frame["r"].to_numpy() - tr * tile + 1, frame["c"].to_numpy() - tc * tile + 1
-        cost, best = np.full((tile + 2, tile + 2), np.nan), np.full((tile + 2, tile + 2), np.inf)
-        came = np.full((tile + 2, tile + 2), -1, np.int32)
-        cost[r, c], best[r, c] = frame["cost"], frame["best"].fillna(np.inf)
-        came[r, c] = frame["turn"].fillna(-1)
-        before = best.copy()
-        _settle(cost, best, came, res)
-        inner = np.zeros_like(best, bool)
-        inner[1:-1, 1:-1] = True
-        i, j = np.nonzero(np.isfinite(best) & inner)
-        return pd.DataFrame({"source": source, "r": (i - 1 + tr * tile).astype(np.int32), "c": (j - 1 + tc * tile).astype(np.int32), "best": best[i, j], "turn": came[i, j], "fresh": best[i, j] < before[i, j]})
 
-    placed = materialize(known.select("r", "c", "cost", around), "tiled-cells")
-    for _ in range(max_passes):
-        seeds = state.select("source", "r", "c", "best", "turn", "fresh", around)
-        active = materialize(seeds.where("fresh").select("source", "t").distinct(), "active-tiles")
-        if active.isEmpty():
-            turn = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in _TURNS]), F.col("turn") + 1)
-            back = lambda x, k: F.when(F.col("turn") >= 0, F.col(x) - turn(k)).cast("int")
-            return state.select("source", "r", "c", "best", back("r", 0).alias("from_r"), back("c", 1).alias("from_c"))
-        ground = placed.join(active, "t").join(seeds.select("source", "t", "r", "c", "best", "turn"), ["source", "t", "r", "c"], "left")
-        done = ground.select("source", F.col("t.tr").alias("tr"), F.col("t.tc").alias("tc"), "r", "c", "cost", "best", "turn").groupBy("source", "tr", "tc").applyInPandas(run, schema)
-        own = F.struct(of("r", 0).alias("tr"), of("c", 0).alias("tc"))
-        rest = state.withColumn("t", own).join(active, ["source", "t"], "left_anti").select("source", "r", "c", "best", "turn", F.lit(False).alias("fresh"))
-        last, state = state, materialize(done.unionByName(rest), "tile-costs")
-        discard(last)
-        discard(active)
-    raise RuntimeError(f"costs did not settle in {max_passes} passes")
+def _cell(node: str, r: str, c: str) -> list:
+    return [F.shiftright(node, 32).cast("int").alias(r), F.col(node).bitwiseAND(F.lit(LOW)).cast("int").alias(c)]
 
 
-def ways(found: DataFrame, targets: DataFrame, longest: int = 1 << 20) -> DataFrame:
+def ways(found: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, to_r, to_c, seq, r, c) from each target (source, r, c) back to its source, seq 0 at the target."""
-    from ridgeline.operators.graph import follow
-
-    # cells of all sources in one chain table: the source and both places in a long
-    node = lambda r, c: F.shiftleft(F.col("source"), 44) + F.shiftleft(F.col(r).cast("long"), 22) + F.col(c)
-    at = lambda x, shift: F.shiftright(x, shift).bitwiseAND(F.lit((1 << 22) - 1)).cast("int")
-    steps = found.where("from_r IS NOT NULL").select(node("r", "c").alias("node"), node("from_r", "from_c").alias("next"))
-    way = follow(targets.join(found.select("source", "r", "c"), ["source", "r", "c"], "left_semi").select(node("r", "c").alias("node")), steps, longest)
-    return way.select(F.shiftright("start", 44).alias("source"), at("start", 22).alias("to_r"), at("start", 0).alias("to_c"), "seq", at("node", 22).alias("r"), at("node", 0).alias("c"))
+    prev = F.coalesce(leaf_node("from_r", "from_c"), F.lit(-1).cast("long"))
+    chains = found.select("source", leaf_node("r", "c").alias("node"), prev.alias("prev"))
+    way = ways_back(chains, targets.select("source", leaf_node("r", "c").alias("target"), leaf_node("r", "c").alias("node")))
+    return way.select("source", *_cell("target", "to_r", "to_c"), "seq", *_cell("node", "r", "c"))

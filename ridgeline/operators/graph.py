@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geo
@@ -81,26 +79,20 @@ def largest_apart(pairs: DataFrame, nodes: DataFrame, max_passes: int = 1000) ->
 def mesh(cells: DataFrame, fine: Column, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """(r, c, size, leaf_r, leaf_c): each cell's leaf. A block is a leaf if it is whole, of one cost and has no fine cell.
 
-    Larger blocks claim their cells first; every test is an aggregate by block, so nothing is gathered.
+    A block that may be a leaf has smaller blocks that may be, so a cell's leaf is the largest such block around it. The
+    blocks of all levels are windows within the largest ones, by which cells are dealt out once.
     """
-    edge = cells.agg(F.max("r"), F.max("c")).first()
-    free = cells.withColumn("_fine", fine)
-    done = []
-    for size in levels:
-        at = {"leaf_r": F.floor(F.col("r") / size) * size, "leaf_c": F.floor(F.col("c") / size) * size}
-        keyed = free.withColumns(at)
-        whole = keyed.groupBy("leaf_r", "leaf_c").agg(
-            F.count(F.lit(1)).alias("n"), F.max("_fine").alias("any_fine"), F.count("cost").alias("known"), F.min("cost").alias("low"), F.max("cost").alias("high")
-        )
-        fits = (F.col("n") == size * size) & ~F.col("any_fine") & ((F.col("known") == 0) | ((F.col("known") == F.col("n")) & (F.col("low") == F.col("high"))))
-        whole = whole.where(fits).select("leaf_r", "leaf_c")
-        taken = keyed.join(whole, ["leaf_r", "leaf_c"], "left_semi")
-        done.append(taken.select("r", "c", F.lit(size).alias("size"), F.col("leaf_r").cast("int"), F.col("leaf_c").cast("int")))
-        free = keyed.join(whole, ["leaf_r", "leaf_c"], "left_anti").select(*cells.columns, "_fine")
-    if edge[0] is not None:
-        free = materialize(free, "fine-cells")
-    done.append(free.select("r", "c", F.lit(1).alias("size"), F.col("r").alias("leaf_r"), F.col("c").alias("leaf_c")))
-    return reduce(DataFrame.unionByName, done)
+    top = max(levels)
+    block = lambda x, k: F.floor(F.col(x) / k).cast("int")
+    at = cells.withColumn("_fine", fine).withColumns({"_r": block("r", top), "_c": block("c", top)}).repartition("_r", "_c")
+    size = F.lit(1)
+    for k in sorted(levels):
+        w = Window.partitionBy("_r", "_c", block("r", k), block("c", k))
+        known = F.count("cost").over(w)
+        one = (known == 0) | ((known == k * k) & (F.min("cost").over(w) == F.max("cost").over(w)))
+        at = at.withColumn(f"_fits_{k}", (F.count(F.lit(1)).over(w) == k * k) & ~F.max("_fine").over(w) & one)
+        size = F.when(F.col(f"_fits_{k}"), k).otherwise(size)
+    return at.select("r", "c", size.alias("size")).select("r", "c", "size", *((F.floor(F.col(x) / F.col("size")) * F.col("size")).cast("int").alias(f"leaf_{x}") for x in "rc"))
 
 
 def mesh_graph(cells: DataFrame, fine: Column, pinned: DataFrame | None = None) -> DataFrame:
@@ -115,7 +107,10 @@ def mesh_graph(cells: DataFrame, fine: Column, pinned: DataFrame | None = None)
         fine = fine | F.col("_pin")
     leaves = mesh(cells, F.coalesce(fine, F.lit(True))).join(cells.select("r", "c", "cost"), ["r", "c"]).where("cost IS NOT NULL")
     own = ["leaf_r", "leaf_c", "size", "cost"]
-    e = neighbours(materialize(leaves, "leaves"), own).where("leaf_r <> to_leaf_r OR leaf_c <> to_leaf_c").select(*own, *[f"to_{x}" for x in own]).distinct()
+    last = lambda x: F.col(f"leaf_{x}") + F.col("size") - 1
+    # a leaf's inner cells touch no other leaf
+    rim = (F.col("r") == F.col("leaf_r")) | (F.col("r") == last("r")) | (F.col("c") == F.col("leaf_c")) | (F.col("c") == last("c"))
+    e = neighbours(materialize(leaves.where(rim), "leaves"), own).where("leaf_r <> to_leaf_r OR leaf_c <> to_leaf_c").select(*own, *[f"to_{x}" for x in own]).distinct()
     out_r, in_r = geo.portal(F.col("leaf_r"), F.col("size"), F.col("to_leaf_r"), F.col("to_size"))
     out_c, in_c = geo.portal(F.col("leaf_c"), F.col("size"), F.col("to_leaf_c"), F.col("to_size"))
     middle = lambda low, size: F.col(low) + F.floor((F.col(size) - 1) / 2)
@@ -131,21 +126,3 @@ def neighbours(cells: DataFrame, columns: list[str]) -> DataFrame:
     turn = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]))
     each = cells.select("r", "c", *columns, turn.alias("_t")).withColumns({"to_r": F.col("r") + F.col("_t.dr"), "to_c": F.col("c") + F.col("_t.dc")}).drop("_t")
     return each.join(cells.select(F.col("r").alias("to_r"), F.col("c").alias("to_c"), *[F.col(x).alias(f"to_{x}") for x in columns]), ["to_r", "to_c"])
-
-
-def least_costs(start: DataFrame, edges: DataFrame, max_passes: int = 10_000) -> DataFrame:
-    """(source, node, cost) of the cheapest way from each source over edges (src, dst, w >= 0).
-
-    Relaxes the frontier of nodes that became cheaper; sources advance together, and ends when none changes.
-    """
-    best = materialize(start.select("source", "node", F.lit(0.0).alias("cost")), "costs")
-    front = best
-    for _ in range(max_passes):
-        step = front.join(edges, front["node"] == edges["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("new"))
-        merged = best.join(step, ["source", "node"], "full")
-        merged = merged.select("source", "node", F.least("cost", "new").alias("cost"), (F.col("new") < F.coalesce("cost", F.lit(float("inf")))).alias("_better"))
-        merged = materialize(merged.withColumn("_better", F.coalesce("_better", F.lit(False))), "costs")
-        best, front = merged.drop("_better"), merged.where("_better").drop("_better")
-        if front.isEmpty():
-            return best
-    raise RuntimeError(f"costs did not settle in {max_passes} passes")

@@ -76,14 +76,24 @@ def components8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.groupBy("component").agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * 100).alias("area_m2"))
 
 
-MESH = f"""{GENTLE}, {DERIVED}, k AS MATERIALIZED (SELECT r, c, CASE WHEN slope < 20 THEN 1e0 WHEN slope < 25 THEN 1.3e0 WHEN slope < 30 THEN 1.8e0 WHEN slope < 35 THEN 4e0 END AS cost, slope >= 15 AS fine FROM d),
-""" + ",\n".join(
+def mesh_sql(cells: str, pinned: str = "false") -> str:
+    """Cells k and their leaves; cells for which pinned holds are leaves of their own."""
+    return f"""{cells}, {DERIVED}, k AS MATERIALIZED (SELECT r, c, CASE WHEN slope < 20 THEN 1e0 WHEN slope < 25 THEN 1.3e0 WHEN slope < 30 THEN 1.8e0 WHEN slope < 35 THEN 4e0 END AS cost, slope >= 15 OR {pinned} AS fine FROM d),
+""" + _LEAVES
+
+
+_LEAVES = ",\n".join(
     f"""w{s} AS MATERIALIZED (SELECT r//{s} AS br, c//{s} AS bc FROM k WHERE NOT EXISTS (SELECT 1 FROM ({' UNION ALL '.join(f'SELECT br*{t} AS r0, bc*{t} AS c0, {t} AS t FROM w{t}' for t in (16, 8, 4, 2) if t > s) or 'SELECT 0 AS r0, 0 AS c0, 0 AS t WHERE false'}) u WHERE k.r >= r0 AND k.r < r0 + t AND k.c >= c0 AND k.c < c0 + t)
 GROUP BY ALL HAVING count(*) = {s*s} AND NOT bool_or(fine) AND (count(cost) = 0 OR (count(cost) = count(*) AND min(cost) = max(cost))))"""
     for s in (16, 8, 4, 2)
 ) + """,
 leaf AS MATERIALIZED (SELECT r, c, cost, coalesce(t, 1) AS size, coalesce(r0, r) AS leaf_r, coalesce(c0, c) AS leaf_c FROM k LEFT JOIN (SELECT br*16 AS r0, bc*16 AS c0, 16 AS t FROM w16 UNION ALL SELECT br*8, bc*8, 8 FROM w8 UNION ALL SELECT br*4, bc*4, 4 FROM w4 UNION ALL SELECT br*2, bc*2, 2 FROM w2) u
 ON k.r >= r0 AND k.r < r0 + t AND k.c >= c0 AND k.c < c0 + t)"""
+MESH = mesh_sql(GENTLE)
+#: Edges of the mesh: both leaves, the portal between them and the lengths up to it, over it and behind it.
+WEIGHTS = f"""p AS (SELECT DISTINCT a.leaf_r AS ar, a.leaf_c AS ac, a.size AS az, a.cost AS acost, b.leaf_r AS br, b.leaf_c AS bc, b.size AS bz, b.cost AS bcost FROM leaf a CROSS JOIN (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) o(dr, dc) JOIN leaf b ON b.r = a.r + dr AND b.c = a.c + dc WHERE (a.leaf_r, a.leaf_c) <> (b.leaf_r, b.leaf_c) AND a.cost IS NOT NULL AND b.cost IS NOT NULL),
+x AS (SELECT *, {', '.join(f"CASE WHEN a{k}+az-1 < b{k} THEN a{k}+az-1 WHEN b{k}+bz-1 < a{k} THEN a{k} ELSE (greatest(a{k}, b{k}) + least(a{k}+az-1, b{k}+bz-1)) // 2 END AS x{k}, CASE WHEN a{k}+az-1 < b{k} THEN b{k} WHEN b{k}+bz-1 < a{k} THEN b{k}+bz-1 ELSE (greatest(a{k}, b{k}) + least(a{k}+az-1, b{k}+bz-1)) // 2 END AS e{k}" for k in 'rc')} FROM p),
+w AS (SELECT *, {', '.join(f"10e0*(greatest(abs({a}r-{b}r), abs({a}c-{b}c)) + (sqrt(2e0)-1)*least(abs({a}r-{b}r), abs({a}c-{b}c))) AS {n}" for a, b, n in (('x', 'm', 'd1'), ('e', 'x', 'd2'), ('q', 'e', 'd3')))} FROM (SELECT *, ar + (az-1)//2 AS mr, ac + (az-1)//2 AS mc, br + (bz-1)//2 AS qr, bc + (bz-1)//2 AS qc FROM x))"""
 
 
 def _costed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +116,7 @@ def mesh_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("leaf_r", "leaf_c", "size", "to_leaf_r", "to_leaf_c", "to_size").distinct().groupBy("size", "to_size").agg(F.count(F.lit(1)).alias("edges"))
 
 
-@query(f"""WITH {MESH}, p AS (SELECT DISTINCT a.leaf_r AS ar, a.leaf_c AS ac, a.size AS az, a.cost AS acost, b.leaf_r AS br, b.leaf_c AS bc, b.size AS bz, b.cost AS bcost FROM leaf a CROSS JOIN (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) o(dr, dc) JOIN leaf b ON b.r = a.r + dr AND b.c = a.c + dc WHERE (a.leaf_r, a.leaf_c) <> (b.leaf_r, b.leaf_c) AND a.cost IS NOT NULL AND b.cost IS NOT NULL),
-x AS (SELECT *, {', '.join(f"CASE WHEN a{k}+az-1 < b{k} THEN a{k}+az-1 WHEN b{k}+bz-1 < a{k} THEN a{k} ELSE (greatest(a{k}, b{k}) + least(a{k}+az-1, b{k}+bz-1)) // 2 END AS x{k}, CASE WHEN a{k}+az-1 < b{k} THEN b{k} WHEN b{k}+bz-1 < a{k} THEN b{k}+bz-1 ELSE (greatest(a{k}, b{k}) + least(a{k}+az-1, b{k}+bz-1)) // 2 END AS e{k}" for k in 'rc')} FROM p),
-w AS (SELECT *, {', '.join(f"10e0*(greatest(abs({a}r-{b}r), abs({a}c-{b}c)) + (sqrt(2e0)-1)*least(abs({a}r-{b}r), abs({a}c-{b}c))) AS {n}" for a, b, n in (('x', 'm', 'd1'), ('e', 'x', 'd2'), ('q', 'e', 'd3')))} FROM (SELECT *, ar + (az-1)//2 AS mr, ac + (az-1)//2 AS mc, br + (bz-1)//2 AS qr, bc + (bz-1)//2 AS qc FROM x))
+@query(f"""WITH {MESH}, {WEIGHTS}
 SELECT az::INT AS size, bz::INT AS to_size, count(*) AS edges, round(sum(d1*acost + d2*(acost+bcost)/2 + d3*bcost), 2) AS weight FROM w GROUP BY ALL""")
 def mesh_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights between touching leaves: from the anchor to the portal, across, and on to the other anchor."""

@@ -35,6 +35,10 @@ def cells_sql(p: float = 1.2, q: float = 1.5, gaps: bool = False) -> str:
     return f"{SIDE}, cell AS MATERIALIZED (SELECT r, c, ({z})::DOUBLE AS z FROM (SELECT (o_orderkey // n)::INT AS r, (o_orderkey % n)::INT AS c, o_totalprice, o_orderpriority FROM orders, n WHERE o_orderkey < n*n))"
 
 
+#: Wide flats between ridges, with steep cones on them.
+VALLEY = f"{SIDE}, cell AS MATERIALIZED (SELECT r, c, (900e0 + 2.2e0*greatest(0, abs((r+2*c)%192-96)-64) + 9e0*greatest(0, 5-greatest(abs(r%48-24), abs(c%48-24))) + floor(o_totalprice)%2)::DOUBLE AS z FROM (SELECT (o_orderkey // n)::INT AS r, (o_orderkey % n)::INT AS c, o_totalprice FROM orders, n WHERE o_orderkey < n*n))"
+
+
 DERIVED = """
 g AS (SELECT r, c, z,
   CASE WHEN lag(1) OVER v IS NULL AND lead(1) OVER v IS NULL THEN NULL WHEN lag(1) OVER v IS NULL THEN (lead(z) OVER v - z)/10e0 WHEN lead(1) OVER v IS NULL THEN (z - lag(z) OVER v)/10e0 ELSE (lead(z) OVER v - lag(z) OVER v)/20e0 END AS s,

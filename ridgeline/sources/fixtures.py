@@ -30,6 +30,25 @@ def cells(spark: SparkSession, sf_dir: str, profile: str = "rough", gaps: bool =
     return grid.select("r", "c", z.cast("double").alias("z"))
 
 
+def valley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(r, c, z): wide flats between ridges, with steep cones on them."""
+    n, key = side(spark, sf_dir), F.col("o_orderkey")
+    r, c = F.floor(key / F.lit(n)).cast("int"), (key % n).cast("int")
+    ridge = F.greatest(F.lit(0), F.abs((F.col("r") + 2 * F.col("c")) % 192 - 96) - 64)
+    cone = F.greatest(F.lit(0), 5 - F.greatest(*(F.abs(F.col(x) % 48 - 24) for x in "rc")))
+    grid = table(spark, sf_dir, "orders").where(key < n * n).select(r.alias("r"), c.alias("c"), "o_totalprice")
+    return grid.select("r", "c", (F.lit(900.0) + 2.2 * ridge + 9.0 * cone + F.floor("o_totalprice") % 2).cast("double").alias("z"))
+
+
+def leg_ends(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """sources (source, r, c), one a nation, and targets (source, target, r, c), its suppliers."""
+    n = side(spark, sf_dir)
+    at = lambda k, a, b, name: ((k * a + b) % n).cast("int").alias(name)
+    k, s = F.col("n_nationkey"), F.col("s_suppkey")
+    sources = table(spark, sf_dir, "nation").select(k.cast("long").alias("source"), at(k, 6007, 11, "r"), at(k, 3571, 5, "c"))
+    return sources, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("source"), s.cast("long").alias("target"), at(s, 7919, 0, "r"), at(s, 104729, 37, "c"))
+
+
 def parkings(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = side(spark, sf_dir)
     k = F.col("s_suppkey")
