@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.operators import graph, spatial, terrain
+from ridgeline.operators.ranks import ranked
 from ridgeline.plans.access_queries import D
 from ridgeline.plans.registry import EDGE, PARKING, PATH, ROAD, SIDE, cells_sql, registry
 from ridgeline.sources.fixtures import cells, edges, parkings, roads, side
@@ -165,7 +166,8 @@ def greedy_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, k = side(spark, sf_dir), F.col("c_custkey")
     p = table(spark, sf_dir, "customer").select(k.alias("id"), ((k * 3571) % (10 * n)).cast("double").alias("x"), ((k * 6007 + 11) % (10 * n)).cast("double").alias("y"), F.col("c_acctbal").alias("score"))
     kept = spatial.greedy_apart(p, "id", "score", 25.0)
-    return p.join(kept.select(F.col("node").alias("id")), "id", "left_semi").select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"))
+    first = ranked(p.join(kept.select(F.col("node").alias("id")), "id", "left_semi"), [F.desc("score"), F.col("id")])
+    return first.select("id", (F.col("rank") + 1).cast("int").alias("rank"))
 
 
 @query(None)

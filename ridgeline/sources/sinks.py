@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ridgeline.sources.scratch import discard, materialize
 
 BLOCK = ["block_x", "block_y"]
 
@@ -32,13 +36,52 @@ def scan_blocks(blocks: DataFrame, work: Callable[[DataFrame], DataFrame], path:
     open_ = wanted.join(done_blocks(spark, path), BLOCK, "left_anti")
     if not open_.isEmpty():
         rows = work(open_)
-        rows.repartition(*BLOCK).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*BLOCK).parquet(f"{path}/rows")
+        rows.hint("rebalance", *BLOCK).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*BLOCK).parquet(f"{path}/rows")
         # the markers don't depend on the rows just written
         open_.join(done_blocks(spark, path), BLOCK, "left_anti").write.mode("append").parquet(f"{path}/_blocks")
     out = spark.read.parquet(f"{path}/rows").withColumns({b: F.col(b).cast("long") for b in BLOCK})
     return out.join(wanted, BLOCK, "left_semi")
 
 
+def work_blocks(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, path: str) -> DataFrame:
+    """Results of work for each block of rows (block_x, block_y, ...), written by block under path; a block that fails stops no other.
+
+    work takes a block's rows, which one task holds, and returns rows of schema without block columns. Where it raises, the block has no results; its
+    error and the number of its tries are in failed_blocks(), and the next call takes it again. Finished blocks aren't
+    worked again. Returns the results of all finished blocks of rows.
+    """
+    spark = rows.sparkSession
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        try:
+            out = work(frame).assign(_error=None, _row=True)
+            if out.empty:
+                out = pd.DataFrame({"_row": [False]})
+        except Exception as failed:  # noqa: BLE001 - reported, not raised: whatever a block's work raises is that block's alone
+            out = pd.DataFrame({"_error": [f"{type(failed).__name__}: {failed}"], "_row": [False]})
+        return out.assign(block_x=key[0], block_y=key[1])
+
+    names = [f.name for f in StructType.fromDDL(schema)]
+    wanted = rows.withColumns({b: F.col(b).cast("long") for b in BLOCK})
+    open_ = wanted.join(done_blocks(spark, path), BLOCK, "left_anti")
+    full = StructType.fromDDL(f"{schema}, _error string, _row boolean, block_x long, block_y long")
+    columns = full.names
+    done = materialize(open_.groupBy(*BLOCK).applyInPandas(lambda key, frame: run(key, frame).reindex(columns=columns).astype({"_error": object}), full), "worked-blocks")
+    good = done.where("_error IS NULL")
+    good.where("_row").select(*names, *BLOCK).hint("rebalance", *BLOCK).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*BLOCK).parquet(f"{path}/rows")
+    done.where("_error IS NOT NULL").select(*BLOCK, F.col("_error").alias("error")).write.mode("append").parquet(f"{path}/_errors")
+    good.select(*BLOCK).distinct().write.mode("append").parquet(f"{path}/_blocks")
+    discard(done)
+    out = spark.read.schema(f"{schema}, block_x long, block_y long").parquet(f"{path}/rows")
+    return out.join(wanted.select(*BLOCK).distinct(), BLOCK, "left_semi")
+
+
+def failed_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(block_x, block_y, tries, error): blocks under path that failed and have no result yet, with the first of their errors by name."""
+    errors = spark.read.schema("block_x long, block_y long, error string").parquet(f"{path}/_errors")
+    return errors.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("tries"), F.min("error").alias("error")).join(done_blocks(spark, path), BLOCK, "left_anti")
+
+
 def thin(line: Column, places: int = 5) -> Column:
     """Every second vertex and the last, coordinates to so many places and heights to one; short lines stay whole."""
     kept = F.when(F.size(line) > 3, F.filter(line, lambda p, i: (i % 2 == 0) | (i == F.size(line) - 1))).otherwise(line)
@@ -52,7 +95,7 @@ def rounded(line: Column, places: int = 5) -> Column:
 def save_geometry(lines: DataFrame, path: str) -> None:
     """lines (key, block, kind, line) as shards by block; legs are thinned, runs are not."""
     out = lines.withColumn("line", F.when(F.col("kind") == "run", rounded(F.col("line"))).otherwise(thin(F.col("line"))))
-    out.repartition("block").write.mode("overwrite").partitionBy("block").parquet(path)
+    out.hint("rebalance", "block").write.mode("overwrite").partitionBy("block").parquet(path)
 
 
 def with_geometry(rows: DataFrame, path: str) -> DataFrame:
