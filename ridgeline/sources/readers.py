@@ -68,6 +68,28 @@ def merged(chunks: list[DataFrame]) -> DataFrame:
     return e.withColumns({"lat": at("lat"), "lon": at("lon")})
 
 
+def stored_elements(answers: DataFrame, found: DataFrame, box: tuple[float, float, float, float], as_of: str) -> DataFrame:
+    """found (answer, type, id, lat, lon, ...) of the answers (answer, source, asked, error) up to a time that didn't fail, with their source.
+
+    Of each type and id the newest counts, wherever it lies, and then only if its point is in the box (west, south,
+    east, north). Among answers of one time the greatest answer is the newest.
+    """
+    known = answers.where(F.col("error").isNull() & (F.col("asked") <= F.lit(as_of).cast(answers.schema["asked"].dataType))).select("answer", "source", "asked")
+    each = found.join(known, "answer")
+    newest = each.groupBy("type", "id").agg(F.max_by(F.struct(*[c for c in each.columns if c not in ("type", "id")]), F.struct("asked", "answer")).alias("n")).select("type", "id", "n.*").drop("asked")
+    return newest.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
+
+
+def source_states(answers: DataFrame, found: DataFrame, box: tuple[float, float, float, float], as_of: str) -> DataFrame:
+    """(source, answered, failed, last_error, elements, state): unknown without any answer, empty without elements in the box, else known."""
+    at = answers.where(F.col("asked") <= F.lit(as_of).cast(answers.schema["asked"].dataType))
+    n = at.groupBy("source").agg(F.count_if(F.col("error").isNull()).alias("answered"), F.count("error").alias("failed"), F.max_by("error", F.when(F.col("error").isNotNull(), F.struct("asked", "answer"))).alias("last_error"))
+    inside = stored_elements(answers, found, box, as_of).groupBy("source").agg(F.count(F.lit(1)).alias("elements"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    out = answers.select("source").distinct().join(n, "source", "left").join(inside, "source", "left").select("source", zero("answered"), zero("failed"), "last_error", zero("elements"))
+    return out.withColumn("state", F.when(F.col("answered") == 0, "unknown").when(F.col("elements") == 0, "empty").otherwise("known"))
+
+
 def wkt_points(wkt: Column) -> Column:
     """The (lon, lat) pairs of a shape as WKT; pairs that are no numbers go."""
     pairs = F.regexp_extract_all(wkt, F.lit(r"(-?\d+(?:\.\d+)?) (-?\d+(?:\.\d+)?)"), F.lit(0))

@@ -51,10 +51,11 @@ class Growing:
 
 def discard(df: DataFrame) -> None:
     """Delete a materialized table that nothing will read again."""
-    _delete(df.sparkSession, df._scratch)
+    delete(df.sparkSession, df._scratch)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete what lies under path in the shared folder."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -64,7 +65,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def release(spark: SparkSession) -> None:
     """Delete what this session has materialized; results that still read it must be stored before."""
     for path in [p for owner, p in _written if owner is spark]:
-        _delete(spark, path)
+        delete(spark, path)
 
 
 @atexit.register

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ridgeline.sources.scratch import discard, materialize
+from ridgeline.sources.scratch import delete, discard, materialize
 
 BLOCK = ["block_x", "block_y"]
 
@@ -82,6 +83,26 @@ def failed_blocks(spark: SparkSession, path: str) -> DataFrame:
     return errors.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("tries"), F.min("error").alias("error")).join(done_blocks(spark, path), BLOCK, "left_anti")
 
 
+def versioned(wanted: DataFrame, key: str, version: int, work: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """Rows of wanted keys from the table under path at a version: work is given the keys that it lacks, and returns their rows.
+
+    Once the rows of a version are written, those of lower ones are out of date and go. A key without rows is asked for again.
+    """
+    spark = wanted.sparkSession
+    wanted, own = wanted.select(key).distinct(), f"{path}/version={version}"
+    try:
+        known = spark.read.parquet(own)
+        open_ = wanted.join(known.select(key).distinct(), key, "left_anti")
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        open_ = wanted
+    work(open_).write.mode("append").parquet(own)
+    for old in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", r"/version=(\d+)/", 1).cast("int").alias("v")).where(F.col("v") < version).distinct().collect():  # a row a version
+        delete(spark, f"{path}/version={old['v']}")
+    return spark.read.parquet(own).join(wanted, key, "left_semi")
+
+
 def thin(line: Column, places: int = 5) -> Column:
     """Every second vertex and the last, coordinates to so many places and heights to one; short lines stay whole."""
     kept = F.when(F.size(line) > 3, F.filter(line, lambda p, i: (i % 2 == 0) | (i == F.size(line) - 1))).otherwise(line)
