@@ -27,7 +27,7 @@ from pyspark.sql.functions import pandas_udf
 from ridgeline.llm.shingles import U, chunks, mix
 
 #: Code points of a numpy pass, about: memory, not results, depends on it.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SPACE = "▁"
 NONE = np.int64(1) << 40
 
