@@ -63,7 +63,7 @@ back AS (SELECT src AS run, dst AS parking, hours, hours*2500 AS length, (floor(
 k AS (SELECT summit, parking, run.run, band, offset_, back.hours AS back_hours, band - 0.3e0*length - 3*gain AS score FROM run JOIN back ON back.run = run.run WHERE length <= 4000 AND gain <= 150),
 b AS (SELECT *, row_number() OVER (PARTITION BY summit, parking ORDER BY round(score, 6) DESC, run) AS i FROM k),
 t AS (SELECT b.*, up.hours + floor((band/8000 + offset_/4000)*100 + 0.5e0)/100 + back_hours AS hours FROM b JOIN x up ON up.kind = 'skin' AND up.src = b.parking AND up.dst = b.summit WHERE i = 1)
-SELECT summit, parking, run, round(score, 6) AS score, round(hours, 4) AS hours, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY summit ORDER BY round(score, 6) DESC, parking) AS rank FROM t) WHERE rank <= 4""")
+SELECT summit, parking, run, round(score, 6) AS score, floor(hours*60 + 0.5e0)::BIGINT AS minutes, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY summit ORDER BY round(score, 6) DESC, parking) AS rank FROM t) WHERE rank <= 4""")
 def loop_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four best loops of each summit: from each parking the run with the best score of band against the walk back to it.
 
@@ -79,7 +79,7 @@ def loop_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = F.col("up_hours") + F.floor((F.col("band") / 8000 + F.col("offset") / 4000) * 100 + 0.5) / 100 + F.col("back_hours")
     rank = F.row_number().over(Window.partitionBy("summit").orderBy("low", "parking"))
     out = best.join(up, ["summit", "parking"]).withColumns({"hours": hours, "rank": rank}).where("rank <= 4")
-    return out.select("summit", "parking", "run", F.round("score", 6).alias("score"), F.round("hours", 4).alias("hours"), "rank")
+    return out.select("summit", "parking", "run", F.round("score", 6).alias("score"), F.floor(F.col("hours") * 60 + 0.5).alias("minutes"), "rank")
 
 
 @query(f"WITH {sun_queries._POINT} SELECT parking, b::DOUBLE AS bearing, round(far, 4) AS angle, CASE WHEN parking % 3 = 0 THEN 2 ELSE 3 END::INT AS worked FROM hz")
