@@ -72,7 +72,7 @@ def light_steps(words: DataFrame) -> DataFrame:
 def near_pairs(words: DataFrame) -> DataFrame:
     """word, n, near, near_n: all pairs of words at one edit, each in both orders; words (word, n) is a written table, its words distinct."""
     light = light_steps(words)
-    head, tail, size = F.substring("word", F.lit(1), F.col("at")), lambda k: F.substring("word", F.col("at") + k, F.char_length("word")), F.char_length("word")
+    head, tail = F.substring("word", F.lit(1), F.col("at")), lambda k: F.substring("word", F.col("at") + k, F.char_length("word"))
     inner = F.col("char") != ""
     merged = F.array(
         F.when(inner, F.concat(head, F.col("heavy"), tail(2))),
@@ -82,7 +82,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     merged = light.select("word", "n", F.explode(F.array_compact(merged)).alias("near"))
     found = merged.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
     # both light: the words of a place and its surroundings differ in that character, so they are no more than there are letters
-    left_open = light.where(inner & (size > 1)).groupBy(F.concat(head, F.lit(OPEN), tail(2)).alias("key")).agg(F.collect_list(F.struct("word", "n")).alias("a")).where(F.size("a") > 1)
+    left_open = light.where(inner).groupBy(F.concat(head, F.lit(OPEN), tail(2)).alias("key")).agg(F.collect_list(F.struct("word", "n")).alias("a")).where(F.size("a") > 1)
     among = left_open.withColumn("b", F.explode("a")).withColumn("c", F.explode("a")).where("b.word < c.word").select("b.word", "b.n", F.col("c.word").alias("near"), F.col("c.n").alias("near_n"))
     pairs = materialize(found.select("word", "n", "near", "near_n").unionByName(among), "pairs")
     discard(light)
