@@ -43,3 +43,64 @@ def test_thresholds_are_in_order():
     rows = [(np.unique(rng.integers(0, 50, 8)) + 50 * g, np.ones(1), g) for g in rng.integers(0, 4, 60)]
     model = quality.fit([(b, np.full(len(b), len(b) ** -0.5), int(g)) for b, _, g in rows], 4)
     assert (np.diff(model.thresholds) > 0).all()
+
+
+def test_fit_lowers_the_loss_written_out_for_each_row():
+    """The ordinal likelihood row by row: no small change of a weight or a threshold is better than the fit by much."""
+    import numpy as np
+
+    from ridgeline.llm import quality
+
+    pick = np.random.default_rng(3)
+    rows = []
+    for _ in range(120):
+        buckets = np.unique(pick.integers(0, 9, 4))
+        values = np.ones(len(buckets)) / np.sqrt(len(buckets))
+        rows.append((buckets, values, int(np.clip(round(buckets.mean() / 3 + pick.normal(0, 0.6)), 0, 2))))
+    penalty = 0.05
+    model = quality.fit(rows, 3, passes=3000, penalty=penalty)
+    share = np.bincount([g for _, _, g in rows], minlength=3)
+
+    def loss(w: np.ndarray, t: np.ndarray) -> float:
+        total = penalty * (w @ w) / 2
+        for buckets, values, g in rows:
+            tail = [1.0, *(1 / (1 + np.exp(x - values @ w[buckets])) for x in t), 0.0]
+            total -= np.log(tail[g] - tail[g + 1]) / share[g] / 3
+        return total
+
+    w, t = model.weights[:9].copy(), model.thresholds.copy()
+    assert not model.weights[9:].any() and t[0] < t[1]
+    best = loss(w, t)
+    for k in range(9):
+        for d in (-0.05, 0.05):
+            assert loss(w + d * (np.arange(9) == k), t) > best - 1e-4
+    for k in range(2):
+        for d in (-0.05, 0.05):
+            assert loss(w, t + d * (np.arange(2) == k)) > best - 1e-4
+
+
+def test_scores_by_hand(spark):
+    import math
+    from zlib import crc32
+
+    import numpy as np
+
+    from ridgeline.llm import quality
+
+    weights = np.zeros(quality.BUCKETS)
+    texts = ["Good good, bad", "bad", "", None, "other"]
+    for word, x in (("wgood", 2.0), ("wbad", -1.0), ("pgood", 0.5)):
+        weights[crc32(word.encode()) % quality.BUCKETS] = x
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r for r in quality.score(docs, quality.Model(weights, np.array([-0.5, 0.7])), 2).collect()}
+    for i, text in enumerate(texts):
+        counts: dict[str, int] = {}
+        for word in (text or "").lower().split():
+            core = word.strip(quality.EDGES)
+            for name in ("w" + core, "p" + core[:6], "m" + word.replace(core, " ", 1)):
+                counts[name] = counts.get(name, 0) + 1
+        values = {k: 1 + math.log(n) for k, n in counts.items()}
+        norm = math.sqrt(sum(v * v for v in values.values())) or 1.0
+        s = sum(v / norm * weights[crc32(k.encode()) % quality.BUCKETS] for k, v in values.items())
+        tails = [1 / (1 + math.exp(t - s)) for t in (-0.5, 0.7)]
+        assert abs(got[i]["tail_probability"] - tails[1]) < 1e-5 and abs(got[i]["expected_grade"] - sum(tails)) < 1e-5
