@@ -22,7 +22,8 @@ def accumulate(steps: DataFrame, sums: list[str], max_passes: int = 64) -> DataF
             return live.drop("next")
         ahead = live.select(F.col("node").alias("next"), F.col("next").alias("_next"), *[F.col(c).alias(f"_{c}") for c in sums])
         joined = live.join(ahead, "next", "left")
-        live = materialize(joined.select("node", F.col("_next").alias("next"), *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in sums]), "chain")
+        last, live = live, materialize(joined.select("node", F.col("_next").alias("next"), *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in sums]), "chain")
+        discard(last)
     raise RuntimeError("a chain of successors has a cycle")
 
 
@@ -50,9 +51,11 @@ def follow(starts: DataFrame, steps: DataFrame, most: int) -> DataFrame:
     ahead = 1
     while ahead <= most and not jump.isEmpty():
         far = out.join(jump, "node").select("start", (F.col("seq") + ahead).alias("seq"), F.col("next").alias("node")).where(F.col("seq") <= most)
-        out = materialize(out.unionByName(far), "traces")
+        last, out = out, materialize(out.unionByName(far), "traces")
+        discard(last)
         twice = jump.select(F.col("node").alias("next"), F.col("next").alias("_next"))
-        jump = materialize(jump.join(twice, "next").select("node", F.col("_next").alias("next")), "jumps")
+        last, jump = jump, materialize(jump.join(twice, "next").select("node", F.col("_next").alias("next")), "jumps")
+        discard(last)
         ahead *= 2
     return out
 
@@ -72,7 +75,8 @@ def largest_apart(pairs: DataFrame, nodes: DataFrame, max_passes: int = 1000) ->
             return (taken or Growing(new, "taken")).read()
         taken = taken.add(new) if taken else Growing(new, "taken")
         gone = pairs.join(new.select(F.col("node").alias("better")), "better", "left_semi").select(F.col("worse").alias("node"))
-        open_ = materialize(open_.join(new, "node", "left_anti").join(gone, "node", "left_anti"), "open")
+        last, open_ = open_, materialize(open_.join(new, "node", "left_anti").join(gone, "node", "left_anti"), "open")
+        discard(last)
     raise RuntimeError(f"ranks not decided in {max_passes} passes")
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.sources.scratch import Growing, materialize
+from ridgeline.sources.scratch import Growing, discard, materialize
+
+#: Rings that nearest() searches before points count as far.
+RINGS = 4
 
 
 def distance(a: str, b: str) -> Column:
@@ -25,9 +30,10 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
 def nearest(left: DataFrame, right: DataFrame, key: str, order: str, step: float, limit: float = float("inf")) -> DataFrame:
     """left with nearest_<order> and distance: the closest right point, the smallest order at ties.
 
-    Rings double until every left point has found its own; limit leaves points without a close one null. Before
-    a ring is searched in full, each open point meets one point of each bucket around it: points with none near
-    wait for a wider ring, and of the others' pairs those beyond the closest of these go before they are grouped.
+    Rings double until the left points that have a right one so near have found their own; limit leaves points without a
+    close one null. Before a ring is searched in full, each open point meets one point of each bucket around it: points
+    with none near wait for a wider ring, and of the others' pairs those beyond the closest of these go before they are
+    grouped. Points that RINGS rings leave open are far from all: they look into ever smaller squares instead.
     """
     names = {f"nearest_{order}": F.lit(None).cast(right.schema[order].dataType), "distance": F.lit(None).cast("double")}
     both = left.select("x", "y").unionByName(right.select("x", "y"))
@@ -35,22 +41,56 @@ def nearest(left: DataFrame, right: DataFrame, key: str, order: str, step: float
     if box[0] is None or right.isEmpty():
         return left.withColumns(names)
     most = min(limit, (box[0] ** 2 + box[1] ** 2) ** 0.5 + 1.0)
-    points = right.select(order, "x", "y")
-    open_, found, radius = materialize(left.select(key, "x", "y"), "open-points"), None, step
-    while True:
+    points = right.select(order, "x", "y").where("x IS NOT NULL AND y IS NOT NULL")
+    open_, found, radius = materialize(left.select(key, "x", "y").where("x IS NOT NULL AND y IS NOT NULL"), "open-points"), None, step
+    for _ in range(RINGS):
         radius = min(radius, most)
         bucket = [F.floor(F.col("x") / radius), F.floor(F.col("y") / radius)]
         some = points.groupBy(*[b.alias(n) for b, n in zip(bucket, ("_i", "_j"), strict=True)]).agg(F.min(F.struct("x", "y")).alias("p")).select("p.*")
         bound = within(open_, some, radius).groupBy(f"l.{key}").agg(F.min("d").alias("bound"))
         reached = materialize(open_.join(bound, key), "bounded-points")
-        best = within(reached, points, radius).where(F.col("d") <= F.col("l.bound")) if radius < most else within(open_, points, radius)
+        best = within(reached, points, radius).where(F.col("d") <= F.col("l.bound"))
         best = best.groupBy(f"l.{key}").agg(F.min(F.struct(F.col("d").alias("d"), F.col(f"r.{order}").alias("o"))).alias("best"))
         best = materialize(best, "nearest")
+        discard(reached)
         found = found.add(best) if found else Growing(best, "nearest")
-        open_ = materialize(open_.join(best.select(key), key, "left_anti"), "open-points")
-        if radius >= most or open_.isEmpty():
-            return left.join(found.read(), key, "left").withColumns({f"nearest_{order}": F.col("best.o"), "distance": F.col("best.d")}).drop("best")
+        last, open_ = open_, materialize(open_.join(best.select(key), key, "left_anti"), "open-points")
+        discard(last)
+        if open_.isEmpty():
+            break
         radius *= 2
+    else:
+        found.add(_far(open_, points, key, order, step, most, max(box)))
+    return left.join(found.read(), key, "left").withColumns({f"nearest_{order}": F.col("best.o"), "distance": F.col("best.d")}).drop("best")
+
+
+def _far(open_: DataFrame, points: DataFrame, key: str, order: str, step: float, most: float, extent: float) -> DataFrame:
+    """(key, best): each open point's closest of points within most, by a descent through squares that halve down to step.
+
+    A square is known by one of its points; an open point follows the squares that may hold a closer one than
+    the closest of these, which are a few on each level.
+    """
+    levels = max(0, math.ceil(math.log2(max(extent, step) / step)))
+    place = lambda x, size: F.floor(F.col(x) / size)
+    size = step * 2**levels
+    top = points.select(place("x", size).alias("i"), place("y", size).alias("j")).distinct()  # four squares at most, as the size is at least the extent
+    at = open_.select(key, "x", "y").crossJoin(F.broadcast(top))
+    for level in range(levels, -1, -1):
+        size = step * 2**level
+        squares = points.groupBy(place("x", size).alias("i"), place("y", size).alias("j")).agg(F.min(F.struct("x", "y")).alias("p"))
+        near = at.join(squares, ["i", "j"])
+        reach = F.sqrt(F.pow(F.col("x") - F.col("p.x"), 2) + F.pow(F.col("y") - F.col("p.y"), 2))
+        gap = lambda x, i: F.greatest(F.col(i) * size - F.col(x), F.col(x) - (F.col(i) + 1) * size, F.lit(0.0))
+        least = F.sqrt(F.pow(gap("x", "i"), 2) + F.pow(gap("y", "j"), 2))
+        near = materialize(near.select(key, "x", "y", "i", "j", reach.alias("reach"), least.alias("least")), "squares")
+        bound = near.groupBy(key).agg(F.least(F.min("reach"), F.lit(most)).alias("bound"))
+        kept = near.join(bound, key).where("least <= bound").select(key, "x", "y", "i", "j")
+        if level:
+            half = F.explode(F.sequence(F.lit(0), F.lit(1)))
+            at = kept.withColumn("di", half).withColumn("dj", half).select(key, "x", "y", (2 * F.col("i") + F.col("di")).alias("i"), (2 * F.col("j") + F.col("dj")).alias("j"))
+    own = points.select(order, F.col("x").alias("px"), F.col("y").alias("py"), place("x", step).alias("i"), place("y", step).alias("j"))
+    d = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2))
+    return kept.join(own, ["i", "j"]).withColumn("d", d).where(F.col("d") <= most).groupBy(key).agg(F.min(F.struct("d", F.col(order).alias("o"))).alias("best"))
 
 
 def apart_from(left: DataFrame, right: DataFrame, key: str, radius: float) -> DataFrame:

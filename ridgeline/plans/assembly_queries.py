@@ -102,16 +102,16 @@ def trimmed_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("path").agg(F.count(F.lit(1)).alias("points"), F.min("seq").alias("first"), F.round(F.max("walked") - F.min("walked"), 4).alias("length"))
 
 
-_LINE = "(SELECT c_custkey AS id, (c_custkey*37 % 400)*1e0 + 0.3 AS ax, (c_custkey*91 % 400)*1e0 + 0.1 AS ay, (c_custkey*37 % 400) + 0.3 + (c_custkey % 7 - 3)*11e0 AS bx, (c_custkey*91 % 400) + 0.1 + (c_custkey % 5 - 2)*13e0 AS by_ FROM customer WHERE c_custkey % 3 {})"
+_LINE = "(SELECT c_custkey AS id, (c_custkey*37 % (10*n))*1e0 + 0.3 AS ax, (c_custkey*91 % (10*n))*1e0 + 0.1 AS ay, (c_custkey*37 % (10*n)) + 0.3 + (c_custkey % 7 - 3)*11e0 AS bx, (c_custkey*91 % (10*n)) + 0.1 + (c_custkey % 5 - 2)*13e0 AS by_ FROM customer, n WHERE c_custkey % 3 {})"
 _SIDE_OF = "sign(({q}x - {p}x)*({r}y - {p}y) - ({q}y - {p}y)*({r}x - {p}x))"
 
 
-@query(f"""WITH w AS (SELECT id, ax::DOUBLE AS ax, ay::DOUBLE AS ay, bx::DOUBLE AS ex, by_::DOUBLE AS ey FROM {_LINE.format('= 0')}), v AS (SELECT id, ax::DOUBLE AS cx, ay::DOUBLE AS cy, bx::DOUBLE AS dx, by_::DOUBLE AS dy FROM {_LINE.format('> 0')})
+@query(f"""WITH {SIDE}, w AS (SELECT id, ax::DOUBLE AS ax, ay::DOUBLE AS ay, bx::DOUBLE AS ex, by_::DOUBLE AS ey FROM {_LINE.format('= 0')}), v AS (SELECT id, ax::DOUBLE AS cx, ay::DOUBLE AS cy, bx::DOUBLE AS dx, by_::DOUBLE AS dy FROM {_LINE.format('> 0')})
 SELECT w.id, count(v.id) AS crossings FROM w LEFT JOIN v ON {_SIDE_OF.format(p='a', q='e', r='c')} * {_SIDE_OF.format(p='a', q='e', r='d')} < 0 AND {_SIDE_OF.format(p='c', q='d', r='a')} * {_SIDE_OF.format(p='c', q='d', r='e')} < 0 GROUP BY w.id""")
 def road_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many road segments a leg properly crosses, found by the cells that both touch."""
-    k = F.col("c_custkey")
-    ax, ay = (k * 37 % 400) + 0.3, (k * 91 % 400) + 0.1
+    k, extent = F.col("c_custkey"), 10 * side(spark, sf_dir)
+    ax, ay = (k * 37 % extent) + 0.3, (k * 91 % extent) + 0.1
     line = table(spark, sf_dir, "customer").select(k.alias("id"), ax.alias("lon"), ay.alias("lat"), (ax + (k % 7 - 3) * 11.0).alias("lon2"), (ay + (k % 5 - 2) * 13.0).alias("lat2"))
     legs, roads_ = line.where(k % 3 == 0), line.where(k % 3 > 0)
     hits = spatial.crossings(legs, roads_, 20.0).groupBy("id").agg(F.count(F.lit(1)).alias("crossings"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +171,19 @@ def test_nearest_with_a_point_far_from_all(spark):
     assert [r["nearest_road"] for r in spatial.nearest(left, right.limit(0), "id", "road", 10.0).collect()] == [None] * 3
 
 
+def test_far_points_descend_to_their_nearest(spark):
+    pick = random.Random(4)
+    right = [(i, pick.uniform(0, 900), pick.uniform(0, 700)) for i in range(300)] + [(300, 5000.0, -4000.0), (301, 5000.0, -4000.0)]
+    left = [(i, pick.uniform(-9000, 9000), pick.uniform(-9000, 9000)) for i in range(80)] + [(80, 5000.0, -4000.0)]
+    a = spark.createDataFrame(left, "id int, x double, y double")
+    b = spark.createDataFrame(right, "road int, x double, y double")
+    for limit in (math.inf, 3000.0):
+        got = {r["id"]: (r["nearest_road"], r["distance"]) for r in spatial.nearest(a, b, "id", "road", 10.0, limit).collect()}
+        for i, x, y in left:
+            d, road = min((math.hypot(x - p, y - q), k) for k, p, q in right)
+            assert got[i][0] == (road if d <= limit else None) and (d > limit or abs(got[i][1] - d) < 1e-6)
+
+
 def test_graph_band_is_stricter(spark):
     s = spark.createDataFrame([(25.0, 25.0), (25.0, 36.0), (34.0, 30.0), (2.0, 10.0), (None, None)], "smooth double, slope double")
     rows = s.select(*flow.graph_flags(F.col("smooth"), F.col("slope"), 20.0, 32.0, 35.0)).collect()
