@@ -272,6 +272,20 @@ def decoder(path: str) -> Callable[[Column], Column]:
     return run
 
 
+def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """encode() and decode() by one worker a task: docs with ids, n_tokens and decoded."""
+
+    @pandas_udf("ids binary, decoded string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        v = vocabulary(path)
+        for texts in batches:
+            ids = list(encode_texts(v, texts.fillna("").tolist()))
+            yield pd.DataFrame({"ids": [x.tobytes() for x in ids], "decoded": [decode_ids(v, x) for x in ids]}, dtype=object)
+
+    out = docs.drop(*({"ids", "n_tokens", "decoded"} - {text_col})).withColumn("_coded", run(F.col(text_col)))
+    return out.withColumns({"ids": F.col("_coded.ids"), "n_tokens": F.expr("octet_length(_coded.ids) div 4"), "decoded": F.col("_coded.decoded")}).drop("_coded")
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """docs with ids (binary, 4 bytes an id) and n_tokens; the model at path must be there on every executor."""
     return docs.withColumn("ids", encoder(path)(F.col(text_col))).withColumn("n_tokens", F.expr("octet_length(ids) div 4"))

@@ -187,7 +187,7 @@ def pieces_path() -> str:
 @_query
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = pieces.decode(pieces.encode(docs, pieces_path()), pieces_path())
+    coded = pieces.round_trip(docs, pieces_path())
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 

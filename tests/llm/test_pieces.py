@@ -78,3 +78,6 @@ def test_nulls_repeated_rows_and_clashing_names(spark):
     got = sorted((r["n_tokens"], r["decoded"]) for r in out.collect())
     assert got[:2] == [(2, ""), (2, "")] and got[2] == got[3] and got[2][1] == "same" and got[4][1] == rows[4][1]
     assert pieces.decode(pieces.encode(docs.limit(0), path), path).count() == 0
+    both = pieces.round_trip(docs, path)
+    assert set(both.columns) == set(out.columns) and sorted((r["n_tokens"], r["decoded"]) for r in both.collect()) == got
+    assert pieces.round_trip(docs.limit(0), path).count() == 0
