@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.operators import graph, terrain
@@ -96,3 +96,22 @@ def faces(cells: DataFrame, least: float, lower: float, upper: float, top_cells:
     each = materialize(each, "faces")
     g = described(traced(cells, each.select("r", "c")), lower, upper)
     return each.join(g, (each["r"] == g["top_r"]) & (each["c"] == g["top_c"])).drop("r", "c")
+
+
+def profiled(runs: DataFrame, res: float = 10.0) -> DataFrame:
+    """Of traced runs (top_r, top_c, seq, r, c, z, forest) one row each: ends and drop, length on the map, forest and the cell in the middle.
+
+    forest_share is in whole percent, forest_type the code above 0 that most cells have (the smallest at ties).
+    """
+    own = ["top_r", "top_c"]
+    w = Window.partitionBy(*own).orderBy("seq")
+    flat = res * F.sqrt((F.pow(F.col("r") - F.lag("r").over(w), 2) + F.pow(F.col("c") - F.lag("c").over(w), 2)).cast("double"))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*own))
+    rows = runs.withColumns({"_flat": flat, "_n": n})
+    out = rows.groupBy(*own).agg(
+        F.min_by("z", "seq").alias("top_z"), F.max_by("z", "seq").alias("bottom_z"), F.coalesce(F.sum("_flat"), F.lit(0.0)).alias("length_m"),
+        F.floor(100 * F.avg((F.col("forest") > 0).cast("double")) + 0.5).alias("forest_share"), F.max(F.when(F.col("seq") == F.floor(F.col("_n") / 2), F.struct("r", "c", "z"))).alias("middle"),
+    )
+    kinds = rows.where("forest > 0").groupBy(*own, "forest").count()
+    kinds = kinds.groupBy(*own).agg(F.min(F.struct((-F.col("count")).alias("n"), "forest"))["forest"].alias("forest_type"))
+    return out.join(kinds, own, "left").withColumn("drop", F.col("top_z") - F.col("bottom_z"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridgeline.operators import flow, graph, spatial, terrain
+from ridgeline.operators import flow, graph, paths, spatial, sun, terrain
+from ridgeline.plans import sun_queries
 from ridgeline.plans.registry import DERIVED, cells_sql, registry
 from ridgeline.plans.terrain_queries import DOWNHILL, SMOOTH
 from ridgeline.sources.fixtures import cells, roads, side
@@ -63,3 +64,23 @@ def ski_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.orderBy(F.col("hours").isNull(), "hours", F.desc("band_len"), "face")
     first = out.orderBy(F.col("hours").isNull(), "hours", F.desc("band_len"), "face").limit(60)
     return first.select("face", "top_cells", "cells", F.round("band_len", 2).alias("band_len"), F.round("mean_slope", 4).alias("mean_slope"), "road", F.round("hours", 4).alias("hours"), F.row_number().over(order).alias("rank"))  # sixty rows
+
+
+@query(None)
+def face_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces with the profile of their run, its forest, and the hours of sun at its middle below the horizons there.
+
+    No SQL: traces, horizons and sun together; each is beside SQL in a query of its own, the profile beside brute force.
+    """
+    n = side(spark, sf_dir)
+    d = flags(spark, sf_dir).withColumn("forest", F.greatest(F.lit(0), (F.col("r") * 3 + F.col("c")) % 7 - 3))
+    d = graph.materialize(d, "flags")
+    faces = graph.materialize(flow.faces(d, 40.0, LOWER, UPPER, 3), "faces")
+    runs = flow.traced(d, faces.select(F.col("top_r").alias("r"), F.col("top_c").alias("c")))
+    each = graph.materialize(faces.join(flow.profiled(runs), ["top_r", "top_c"]), "face-profiles")
+    at = each.select("face", F.col("mean_slope").alias("slope"), "aspect", (F.col("middle.c") * 10.0 + 5).alias("x"), (10.0 * n - F.col("middle.r") * 10 - 5).alias("y"), F.col("middle.z").alias("z"))
+    rays = sun.horizons(at, d, "face", sun_queries.BEARINGS, sun_queries.NEAR, 0.0, 10.0 * n)
+    hours = sun.sun_hours(sun_queries.states(spark, at, rays, "face"), "face")
+    out = each.join(hours, "face", "left")
+    rounded = [F.round(c, k).alias(c) for c, k in (("band_len", 2), ("mean_slope", 4), ("drop", 2), ("length_m", 2), ("hours", 4))]
+    return out.select("face", "top_cells", "cells", "forest_share", "forest_type", paths.terrain_class(F.col("forest_share")).alias("terrain"), *rounded).withColumnRenamed("hours", "sun_hours")

@@ -166,3 +166,29 @@ def written_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.when(F.col("text").rlike(r"(Z|[+-]\d\d:\d\d)$"), F.col("text")).otherwise(F.concat("text", F.lit("+02:00")))
     local = F.convert_timezone(F.lit("UTC"), F.lit("Europe/Oslo"), F.to_timestamp_ntz(F.date_format(F.to_timestamp(whole), "yyyy-MM-dd HH:mm:ss")))
     return t.select("event_id", F.date_format(local, "yyyy-MM-dd").alias("day"), F.date_format(local, "HH:mm").alias("clock"))
+
+
+_LEGS = """v AS MATERIALIZED (SELECT user_id AS leg, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, 400000e0 + user_id*700 + row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)*90 AS x, 6900000e0 + user_id*450 + value*400 AS y FROM events),
+own AS (SELECT leg // 4 AS route, leg, leg % 4 AS place FROM (SELECT DISTINCT leg FROM v)),
+w AS MATERIALIZED (SELECT route, x, y, row_number() OVER (PARTITION BY route ORDER BY place, seq) - 1 AS ord FROM own JOIN v USING (leg))"""
+
+
+@query(f"""WITH {_LEGS}, b AS (SELECT DISTINCT route, block_x, block_y FROM {_BLOCKS.format(r='5000', t='(SELECT * FROM w WHERE ord % 5 = 0)')} WHERE greatest(dx, dy) <= 5000),
+k AS (SELECT b.route, block_x, block_y, min(sqrt(pow(greatest(block_x - x, 0e0, x - block_x - 28000), 2) + pow(greatest(block_y - y, 0e0, y - block_y - 28000), 2))) AS d, min_by(x, ord) AS x0, min_by(y, ord) AS y0 FROM b JOIN w USING (route) GROUP BY ALL)
+SELECT route, block_x, block_y, round(sqrt(pow(block_x + 14000 - x0, 2) + pow(block_y + 14000 - y0, 2))/1000, 3) AS dist_km FROM k WHERE d <= 5000""")
+def corridor_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks within five kilometres of a route of several legs, whose stored lines follow one another, with their distance from its start.
+
+    Blocks are looked for around every fifth vertex of the whole route, and kept by their least distance to any.
+    """
+    from ridgeline.sources.fixtures import paths as points
+
+    v = points(spark, sf_dir).select(F.col("path").alias("leg"), "seq", (400000.0 + F.col("path") * 700 + F.col("seq") * 90).alias("x"), (6900000.0 + F.col("path") * 450 + F.col("z") * 400).alias("y"))
+    along = Window.partitionBy("route").orderBy("place", "seq")
+    w = v.select(F.floor(F.col("leg") / 4).alias("route"), (F.col("leg") % 4).alias("place"), "seq", "x", "y").withColumn("i", F.row_number().over(along) - 1)
+    w = graph.materialize(w, "route-points")
+    found = blocks_within(w.where("i % 5 = 0").select("route", "x", "y"), 5000.0, True).select("route", "block_x", "block_y").distinct()
+    near = blocks_within(w.select("route", "x", "y"), 5000.0).select("route", "block_x", "block_y").distinct()
+    start = w.where("i = 0").select("route", F.col("x").alias("x0"), F.col("y").alias("y0"))
+    dx, dy = F.col("block_x") + 14000 - F.col("x0"), F.col("block_y") + 14000 - F.col("y0")
+    return found.join(near, ["route", "block_x", "block_y"]).join(start, "route").select("route", "block_x", "block_y", F.round(F.sqrt(dx * dx + dy * dy) / 1000, 3).alias("dist_km"))

@@ -52,16 +52,20 @@ vis AS (SELECT parking, sec, least(10, ({END} - sec)/60e0) AS minutes, CASE WHEN
 FROM (SELECT pt.parking, slope, aspect, sec, azimuth, elevation, angles[(floor(azimuth/45)::INT % 8) + 1] AS a, angles[((floor(azimuth/45)::INT + 1) % 8) + 1] AS b2 FROM pt JOIN hr USING (parking) CROSS JOIN st))"""
 
 
-def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rays = _rays(spark, sf_dir, NEAR)
-    angles = rays.groupBy("parking").agg(F.transform(F.array_sort(F.collect_list(F.struct("bearing", "angle"))), lambda x: x.angle).alias("angles"))
+def states(spark: SparkSession, points: DataFrame, rays: DataFrame, key: str) -> DataFrame:
+    """(key, sec, minutes, lit) of points (key, slope, aspect) with their rays (key, bearing, angle), for each slot of the day."""
+    angles = rays.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("bearing", "angle"))), lambda x: x.angle).alias("angles"))
     lit = lambda x: F.lit(x).cast("long")
     at = spark.range(1).select(F.explode(sun.slots(lit(BEGIN), lit(END))).alias("sec"))
     azimuth, elevation = geo.solar(F.lit(62.7), F.lit(9.0), F.col("sec").cast("double"))
     at = at.select("sec", azimuth.alias("azimuth"), elevation.alias("elevation"))
-    s = _points(spark, sf_dir).select("parking", "slope", "aspect").join(angles, "parking").crossJoin(F.broadcast(at))  # 49 slots of a day
+    s = points.select(key, "slope", "aspect").join(angles, key).crossJoin(F.broadcast(at))  # 49 slots of a day
     state = sun.sun_state(F.col("azimuth"), F.col("elevation"), sun.between_rays(F.col("angles"), F.col("azimuth"), 45.0), F.col("slope"), F.col("aspect"))
-    return s.select("parking", "sec", F.least(F.lit(10.0), (END - F.col("sec")) / 60.0).alias("minutes"), state.alias("lit"))
+    return s.select(key, "sec", F.least(F.lit(10.0), (END - F.col("sec")) / 60.0).alias("minutes"), state.alias("lit"))
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states(spark, _points(spark, sf_dir), _rays(spark, sf_dir, NEAR), "parking")
 
 
 @query(f"WITH {_POINT}, {_SLOT} SELECT parking, CASE WHEN bool_and(lit IS NOT NULL) THEN round(sum(CASE WHEN lit THEN minutes ELSE 0 END)/60e0, 4) END AS hours FROM vis GROUP BY parking")

@@ -104,6 +104,16 @@ def test_faces_by_brute_force(spark):
     assert flow.faces(cells.where("false"), 100.0, 20.0, 30.0).count() == 0
 
 
+def test_profile_of_a_run(spark):
+    run = [(0, 0, 100.0, 0), (1, 1, 90.0, 2), (2, 1, 85.0, 1), (3, 1, 80.0, 2), (3, 2, 70.0, 0)]
+    rows = [(0, 0, i, r, c, z, f) for i, (r, c, z, f) in enumerate(run)] + [(9, 9, 0, 9, 9, 50.0, 0)]
+    runs = spark.createDataFrame(rows, "top_r int, top_c int, seq int, r int, c int, z double, forest int")
+    got = {(r["top_r"], r["top_c"]): r for r in flow.profiled(runs).collect()}
+    one = got[0, 0]
+    assert one["drop"] == 30 and math.isclose(one["length_m"], 30 + 10 * math.sqrt(2)) and one["forest_share"] == 60 and one["forest_type"] == 2 and tuple(one["middle"]) == (2, 1, 85.0)
+    assert got[9, 9]["length_m"] == 0 and got[9, 9]["forest_type"] is None and tuple(got[9, 9]["middle"]) == (9, 9, 50.0)
+
+
 def test_horizon_is_unknown_with_any_sample(spark):
     flat = [(r, c, 100.0 if r else None) for r in range(20) for c in range(20)]
     cells = spark.createDataFrame(flat, "r int, c int, z double")
