@@ -42,6 +42,20 @@ def test_repeats_by_brute_force(spark, sf_dir, texts):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == want
 
 
+def test_repeats_leave_the_rest_of_the_text(spark, tmp_path):
+    """Passages of over 50 words go from 400 bytes on; shorter ones, and documents without one, keep their whole text."""
+    long, short = (" ".join(f"{a}{i:0{n}d}" for i in range(60)) for a, n in (("p", 6), ("q", 4)))
+    assert len(long) >= 400 > len(short)
+    rows = {1: f"one {long} end", 2: f"two {long}\nlast", 3: f"three {short} c", 4: f"four {short} d", 5: "clean " * 60, 6: None, 7: f"é{long}é", 8: f"è{long}è"}
+    spark.createDataFrame(list(rows.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in queries.op1_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    want = rows | {1: "one end", 2: "two\nlast", 6: "", 7: "é\ufffd", 8: "è\ufffd"}
+    assert {k: r["text"] for k, r in found.items()} == want
+    assert [k for k, r in sorted(found.items()) if r["repeated"]] == [1, 2, 7, 8]
+    left = "é".encode() + "é".encode()[1:]
+    assert found[7]["kept_sha256"] == hashlib.sha256(left).hexdigest() and found[7]["n_removed"] == len(long) + 1
+
+
 def test_packing_keeps_every_token(spark, sf_dir, texts):
     import numpy as np
     from tokenizers import Tokenizer
