@@ -109,7 +109,8 @@ def inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
     disc = [(a, b) for a in range(-10, 11) for b in range(-10, 11) if a * a + b * b <= 100]
     turn = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in disc]))
     at = parkings(spark, sf_dir).select("parking", F.floor(F.col("y") / 10).alias("pr"), F.floor(F.col("x") / 10).alias("pc"), turn.alias("t"))
-    near = at.select("parking", (F.col("pr") + F.col("t.a")).cast("int").alias("r"), (F.col("pc") + F.col("t.b")).cast("int").alias("c")).join(d, ["r", "c"])
+    # Spark takes a disc for as small as its parking and would broadcast the cells of all discs
+    near = at.select("parking", (F.col("pr") + F.col("t.a")).cast("int").alias("r"), (F.col("pc") + F.col("t.b")).cast("int").alias("c")).join(d.hint("merge"), ["r", "c"])
     band = F.avg(F.when(F.col("slope").isNotNull(), ((F.col("slope") > 20) & (F.col("slope") < 30)).cast("double")))
     return near.groupBy("parking").agg(
         F.count(F.lit(1)).alias("cells"), F.round(F.min("slope"), 4).alias("low"), F.round(F.max("slope"), 4).alias("high"), F.round(F.percentile("slope", F.lit(0.5)), 4).alias("middle"),
