@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ridgeline.operators import components
 from ridgeline.plans import catalog
 
 
@@ -11,3 +14,9 @@ def _plan(df) -> str:
 
 def test_cells_of_discs_are_not_broadcast(spark, sf_dir):
     assert "Broadcast" not in _plan(catalog.QUERIES["inspected"](spark, sf_dir))
+
+
+def test_signature_of_many_edges_stays_in_range(spark):
+    edges = spark.range(20_000_000).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
+    assert components._signature(edges)[0] == 20_000_000
+    assert components._signature(edges.where("u < 7")) != components._signature(edges.where("u < 6 OR u = 7"))
