@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from ridgeline.operators import components
-from ridgeline.plans import catalog
+from ridgeline.plans import catalog, graph_queries
 
 
 def _plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    return df._jdf.queryExecution().sparkPlan().toString()
 
 
 def test_cells_of_discs_are_not_broadcast(spark, sf_dir):
@@ -20,3 +23,20 @@ def test_signature_of_many_edges_stays_in_range(spark):
     edges = spark.range(20_000_000).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
     assert components._signature(edges)[0] == 20_000_000
     assert components._signature(edges.where("u < 7")) != components._signature(edges.where("u < 6 OR u = 7"))
+
+
+def test_best_loops_meet_few_ways_back(spark):
+    pick = random.Random(3)
+    up = {(f"p{pick.randrange(4)}", f"s{pick.randrange(60)}"): pick.randrange(1, 9) / 10 for _ in range(150)}
+    run = {f"s{i}": (f"r{i % 3}", 80.0 * pick.randrange(1, 4)) for i in range(60)}
+    back = {(f"r{pick.randrange(3)}", f"p{pick.randrange(2, 12)}"): pick.randrange(1, 9) / 10 for _ in range(40)}
+    loops = [(p, (p != e, u + band / 8000 + b, -band, s, r, e)) for (p, s), u in up.items() for r, band in [run[s]] for (q, e), b in back.items() if q == r]
+    expected = {(p, i + 1, s, r, e, round(h, 4), not opens) for p in {x for x, _ in up} for i, (opens, h, _, s, r, e) in enumerate(sorted(k for q, k in loops if q == p)[:5])}
+    found = graph_queries.best_loops(
+        spark.createDataFrame([(*k, v) for k, v in up.items()], "parking string, summit string, up double"),
+        spark.createDataFrame([(k, *v) for k, v in run.items()], "summit string, run string, band double"),
+        spark.createDataFrame([(*k, v) for k, v in back.items()], "run string, end string, back double"),
+    )
+    assert {tuple(r) for r in found.collect()} == expected
+    # two windows: ways up are cut before they meet the ways back
+    assert len(re.findall(r"Window \[", _plan(found))) == 2
