@@ -68,9 +68,12 @@ def lattice(radius: float) -> tuple[F.Column, F.Column]:
     return F.sequence(low("x", BLOCK_X), high("x", BLOCK_X)), F.sequence(low("y", BLOCK_Y), high("y", BLOCK_Y))
 
 
-def blocks_within(points: DataFrame, radius: float, square: bool = False) -> DataFrame:
-    """points with every block (block_x, block_y) whose rectangle touches their circle or square, edges included, and dist_km."""
-    xs, ys = lattice(radius)
+def blocks_within(points: DataFrame, radius: float, square: bool = False, closed: bool = False) -> DataFrame:
+    """points with every block (block_x, block_y) whose rectangle touches their circle or square, and dist_km.
+
+    A block's upper edges are its own only if closed: then one that ends just radius before a point counts.
+    """
+    xs, ys = lattice(radius + 1.0 if closed else radius)  # a metre more than d below lets pass
     out = points.withColumn("_i", F.explode(xs)).withColumn("_j", F.explode(ys))
     out = out.select(*points.columns, (F.col("_i") * BLOCK + BLOCK_X).alias("block_x"), (F.col("_j") * BLOCK + BLOCK_Y).alias("block_y"))
     dx = F.greatest(F.col("block_x") - F.col("x"), F.lit(0.0), F.col("x") - F.col("block_x") - BLOCK)

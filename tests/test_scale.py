@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from ridgeline.operators import components
@@ -40,3 +42,14 @@ def test_best_loops_meet_few_ways_back(spark):
     assert {tuple(r) for r in found.collect()} == expected
     # two windows: ways up are cut before they meet the ways back
     assert len(re.findall(r"Window \[", _plan(found))) == 2
+
+
+def test_blocks_that_end_five_kilometres_before_a_vertex(spark, tmp_path):
+    # path 3 has a block that ends just 5 km before it; so has path 0, but the lattice begins above that one
+    rows = [(0, 0, "view", 12.5), (1, 3, "view", 80.25), (2, 5, "view", 80.0)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds("event_id").cast("timestamp_ntz"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    expected = Counter(con.execute(catalog.ORACLE_SQL["corridor_blocks"]).fetchall())
+    assert Counter(tuple(r) for r in catalog.QUERIES["corridor_blocks"](spark, str(tmp_path)).collect()) == expected
