@@ -11,6 +11,8 @@ from ridgeline.sources.scratch import materialize
 
 #: A trace holds its start and at most so many cells more.
 LONGEST = 600
+#: Sums of one line that are added in different orders are closer than this, in metres.
+SLACK = 1e-6
 
 
 def face_flags(smooth: Column, slope: Column, lower: float, upper: float) -> tuple[Column, Column]:
@@ -67,7 +69,30 @@ def labelled(cells: DataFrame, key: str) -> DataFrame:
 
 def traced(cells: DataFrame, tops: DataFrame) -> DataFrame:
     """(top_r, top_c, seq) and cells' columns along the fall line from each top to its last counted cell."""
-    way = graph.follow(tops.select(node("r", "c").alias("node")), steps(cells).select("node", "next"), LONGEST)
+    return _run(cells, graph.follow(tops.select(node("r", "c").alias("node")), steps(cells).select("node", "next"), LONGEST))
+
+
+def traced_best(cells: DataFrame, least: float, size: int) -> DataFrame:
+    """traced() from the cell of each block of size x size with the longest band below it, if that has least metres; the first of equal ones.
+
+    Doubling adds up a line's steps in another order than walking down it does, so lines that a walk makes equal may differ by
+    a rounding. Those within SLACK of a block's longest are added up step by step, and that decides.
+    """
+    st = materialize(steps(cells).select("node", "next", "band_len"), "steps")
+    block = [F.floor(row("node") / size).alias("_br"), F.floor(column("node") / size).alias("_bc")]
+    lines = materialize(graph.accumulate(st, ["band_len"]).where(F.col("band_len") >= least - SLACK).select("node", "band_len", *block), "long-lines")
+    most = lines.groupBy("_br", "_bc").agg(F.max("band_len").alias("most"))
+    likely = lines.join(most, ["_br", "_bc"]).where(F.col("band_len") >= F.col("most") - SLACK)
+    ways = graph.follow(likely.select("node"), st.select("node", "next"), 1 << 30)
+    each = ways.join(st.select("node", "band_len"), "node").groupBy(F.col("start").alias("node")).agg(F.array_sort(F.collect_list(F.struct("seq", "band_len"))).alias("s"))
+    each = each.withColumn("band_len", F.aggregate("s", F.lit(0.0), lambda total, x: total + x.band_len)).where(F.col("band_len") >= least)
+    first = F.row_number().over(Window.partitionBy(*block).orderBy(F.desc("band_len"), "node"))
+    tops = each.withColumn("i", first).where("i = 1").select(F.col("node").alias("start"))
+    return _run(cells, ways.where(F.col("seq") <= LONGEST).join(tops, "start", "left_semi"))
+
+
+def _run(cells: DataFrame, way: DataFrame) -> DataFrame:
+    """traced() by its ways (start, seq, node)."""
     way = way.select(row("start").alias("top_r"), column("start").alias("top_c"), "seq", row("node").alias("r"), column("node").alias("c"))
     all_ = materialize(way.join(cells, ["r", "c"]), "traced")
     last = all_.where("counted").groupBy("top_r", "top_c").agg(F.max("seq").alias("last"))

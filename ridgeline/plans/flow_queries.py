@@ -43,9 +43,7 @@ SELECT r0 AS top_r, c0 AS top_c, cells, round(mean_slope, 4) AS mean_slope, roun
 def traced_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best fall line of each block of 16 x 16 cells, traced to its last cell in the band, if it is steep and even enough."""
     d = graph.materialize(flags(spark, sf_dir), "flags")
-    best = F.row_number().over(Window.partitionBy(F.floor(F.col("r") / 16), F.floor(F.col("c") / 16)).orderBy(F.desc("band_len"), "r", "c"))
-    tops = flow.fall_line(d).where("band_len >= 40").withColumn("i", best).where("i = 1").select("r", "c")
-    g = flow.described(flow.traced(d, tops), LOWER, UPPER)
+    g = flow.described(flow.traced_best(d, 40.0, 16), LOWER, UPPER)
     return g.select("top_r", "top_c", "cells", *[F.round(c, 4).alias(c) for c in ("mean_slope", "band_share", "max_slope", "steep_share")], F.round("aspect", 2).alias("aspect"))
 
 

@@ -9,7 +9,7 @@ from collections import Counter
 import duckdb
 from pyspark.sql import functions as F
 
-from ridgeline.operators import components
+from ridgeline.operators import components, flow
 from ridgeline.plans import catalog, graph_queries
 
 
@@ -53,3 +53,31 @@ def test_blocks_that_end_five_kilometres_before_a_vertex(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     expected = Counter(con.execute(catalog.ORACLE_SQL["corridor_blocks"]).fetchall())
     assert Counter(tuple(r) for r in catalog.QUERIES["corridor_blocks"](spark, str(tmp_path)).collect()) == expected
+
+
+def test_first_of_lines_that_a_walk_makes_equal(spark):
+    # column 0 goes down by the same steps as column 16, behind other ones that are not in the band
+    drops = [2.7, 8.2, 1.8, 4.2, 2.5, 7.3, 6.7]
+    cells = []
+    for c in range(0, 48, 16):
+        z = 1000.0
+        for r, drop in enumerate([9.0] * (c // 16) + drops + [0.0]):
+            cells.append((r, c, z, True, r >= c // 16, 25.0, 180.0))
+            z -= drop
+    cells = spark.createDataFrame(cells, "r int, c int, z double, ok boolean, counted boolean, slope double, aspect double")
+    found = flow.traced_best(cells, 40.0, 48)
+    walked = {}
+    for s in flow.steps(cells).orderBy("node").collect():  # down a column
+        c = s["node"] & 0xFFFFFFFF
+        walked.setdefault(c, []).append((s["node"] >> 32, s["band_len"]))
+    sums = []
+    for c, own in walked.items():
+        for i, (r, _) in enumerate(own):
+            total = 0.0
+            for _, x in own[i:]:
+                total += x
+            sums.append((-total, r, c))
+    assert {(x["top_r"], x["top_c"]) for x in found.collect()} == {min(sums)[1:]}
+    # sums by doubling would choose another one
+    doubled = flow.fall_line(cells).orderBy(F.desc("band_len"), "r", "c").first()
+    assert (doubled["r"], doubled["c"]) != min(sums)[1:]
