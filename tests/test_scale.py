@@ -58,7 +58,7 @@ def test_blocks_that_end_five_kilometres_before_a_vertex(spark, tmp_path):
 def test_first_of_lines_that_a_walk_makes_equal(spark):
     # column 0 goes down by the same steps as column 16, behind other ones that are not in the band
     drops = [2.7, 8.2, 1.8, 4.2, 2.5, 7.3, 6.7]
-    cells = []
+    cells = [(r, c, 5000.0, False, False, 25.0, 180.0) for r in range(10) for c in range(48) if c % 16 or r > 7 + c // 16]  # walls
     for c in range(0, 48, 16):
         z = 1000.0
         for r, drop in enumerate([9.0] * (c // 16) + drops + [0.0]):
