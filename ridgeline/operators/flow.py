@@ -64,7 +64,7 @@ def fall_line(cells: DataFrame) -> DataFrame:
 def labelled(cells: DataFrame, key: str) -> DataFrame:
     """cells with component, the smallest key of the 8-connected cells they belong to."""
     found = connected_components(graph.neighbours(cells, [key]), key, f"to_{key}")
-    return cells.join(found.withColumnRenamed("node", key), key, "left").withColumn("component", F.coalesce("component", key))
+    return cells.join(found.withColumnRenamed("node", key).hint("merge"), key, "left").withColumn("component", F.coalesce("component", key))
 
 
 def traced(cells: DataFrame, tops: DataFrame) -> DataFrame:

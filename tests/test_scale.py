@@ -9,8 +9,9 @@ from collections import Counter
 import duckdb
 from pyspark.sql import functions as F
 
-from ridgeline.operators import components, flow
+from ridgeline.operators import components, flow, graph, legs
 from ridgeline.plans import catalog, graph_queries
+from ridgeline.sources.scratch import materialize
 
 
 def _plan(df) -> str:
@@ -81,3 +82,16 @@ def test_first_of_lines_that_a_walk_makes_equal(spark):
     # sums by doubling would choose another one
     doubled = flow.fall_line(cells).orderBy(F.desc("band_len"), "r", "c").first()
     assert (doubled["r"], doubled["c"]) != min(sums)[1:]
+
+
+def test_cells_and_leaves_are_not_broadcast(spark):
+    cells = materialize(spark.range(64).selectExpr("int(id / 8) AS r", "int(id % 8) AS c", "1.0D AS cost", "id % 5 = 0 AS fine"), "cells")
+    assert "Broadcast" not in _plan(graph.mesh_graph(cells, F.col("fine")))
+    assert "Broadcast" not in _plan(graph.neighbours(cells, ["cost"]))
+    # pins are few; cells are not
+    edges, leaves = legs.mesh_of(cells, F.col("fine"), cells.where("r = 1").select("r", "c"))
+    assert "BuildLeft" not in _plan(leaves)
+    ways = leaves.select(F.lit(1).alias("source"), F.lit(1).alias("target"), F.lit(0).alias("seq"), "node")
+    assert "Broadcast" not in _plan(legs.walked(materialize(ways, "ways"), materialize(leaves, "leaves")))
+    labels = flow.labelled(cells.withColumn("key", F.col("r") * 8 + F.col("c")), "key")
+    assert "Broadcast" not in _plan(labels)
