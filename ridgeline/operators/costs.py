@@ -18,7 +18,7 @@ def raster_costs(cells: DataFrame, start: DataFrame, tile: int = TILE, res: floa
     known = cells.where("cost IS NOT NULL").select("r", "c", "cost")
     length = F.when((F.col("r") != F.col("to_r")) & (F.col("c") != F.col("to_c")), res * 2**0.5).otherwise(res)
     edges = neighbours(known, ["cost"]).select(leaf_node("r", "c").alias("src"), leaf_node("to_r", "to_c").alias("dst"), (length * (F.col("cost") + F.col("to_cost")) / 2).alias("w"))
-    starts = start.join(known, ["r", "c"], "left_semi").select("source", leaf_node("r", "c").alias("node"))
+    starts = known.select("r", "c").join(start, ["r", "c"]).select("source", leaf_node("r", "c").alias("node"))
     found = search(edges, starts, tile)
     before = F.col("prev") >= 0
     return found.select("source", *_cell("node", "r", "c"), F.col("cost").alias("best"), *[F.when(before, x).alias(f"from_{n}") for x, n in zip(_cell("prev", "r", "c"), "rc", strict=True)])
